@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from tallyhouse.specs import CURRENCY_MARKS, TIMESTAMP_PATTERNS, WHITESPACE
@@ -10,7 +12,7 @@ MONEY = "decimal(18,4)"
 MONEY_OUT = "decimal(18,2)"
 
 # plain decimal or scientific notation; keeps Java-only forms such as `1d` out
-NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+NUMBER = r"^\s*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\s*$"
 
 
 def strip(c: Column) -> Column:
@@ -29,7 +31,7 @@ def strip_currency(c: Column) -> Column:
 def number_text(c: Column) -> Column:
     """The text where it is a number, else NULL. The column is used once, so chains
     of these expressions do not multiply when a filter is pushed through them."""
-    return F.nullif(F.regexp_extract(strip(c), NUMBER, 0), F.lit(""))
+    return F.nullif(F.regexp_extract(c, NUMBER, 1), F.lit(""))
 
 
 def to_number(c: Column) -> Column:
@@ -37,8 +39,18 @@ def to_number(c: Column) -> Column:
     return number_text(c).try_cast("double")
 
 
+def _shape(pattern: str) -> str:
+    """Regular expression of the texts a date pattern can match."""
+    fields = {"yyyy": r"\d{4}", "MMM": "[A-Za-z]{3}", "'T'": "T"}
+    digits = r"\d{1,2}"
+    parts = re.split(r"(yyyy|MMM|'T'|[MdHms])", pattern)
+    return "^" + "".join(fields.get(p, digits if p in tuple("MdHms") else re.escape(p)) for p in parts) + "$"
+
+
 def to_timestamp(c: Column, pattern: str) -> Column:
-    return F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
+    """The cheap test of the shape comes first: a failing parse costs an exception."""
+    parsed = F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
+    return F.when(c.rlike(_shape(pattern)), parsed)
 
 
 def to_timestamp_any(c: Column, patterns=TIMESTAMP_PATTERNS) -> Column:

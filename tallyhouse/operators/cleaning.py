@@ -53,7 +53,9 @@ def normalize_headers(df: DataFrame) -> DataFrame:
 def null_markers(df: DataFrame, cols=None, markers=NULL_MARKERS) -> DataFrame:
     """Exact cell match; runs before trimming, so a padded marker survives."""
     cols = cols or string_columns(df)
-    return df.withColumns({c: F.when(~F.col(c).isin(markers), F.col(c)) for c in cols})
+    # one constant array keeps the generated code of wide feeds small enough to compile
+    known = F.array(*[F.lit(m) for m in markers])
+    return df.withColumns({c: F.when(~F.array_contains(known, F.col(c)), F.col(c)) for c in cols})
 
 
 def drop_all_null_rows(df: DataFrame, cols=None) -> DataFrame:

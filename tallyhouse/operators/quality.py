@@ -24,22 +24,18 @@ def _business(df: DataFrame) -> list[str]:
 def dq_duplicate_rows(df: DataFrame, cols=None, row: str = ROW) -> DataFrame:
     """Rows that repeat an earlier row of the same sheet."""
     first = first_rows(df, SCOPE, cols or _business(df), row)
-    copies = mark(df, first, [*SCOPE, row], "_first").filter("not _first").drop("_first")
+    copies = mark(df, first, [row, *SCOPE], "_first").filter("not _first").drop("_first")
     return _reject(copies, DUPLICATE_ROW, F.lit(COPY_TEXT))
 
 
-def drop_duplicate_rows(df: DataFrame, cols=None, row: str = ROW) -> DataFrame:
-    first = first_rows(df, SCOPE, cols or _business(df), row)
-    return df.join(first, [*SCOPE, row], "left_semi")
-
-
 def dq_pk_duplicates(df: DataFrame, key: Sequence[str], row: str = ROW) -> DataFrame:
     """Among rows that are not copies, those whose key an earlier row has."""
     if any(k not in df.columns for k in key):
         return _reject(df.limit(0), PK_DUPLICATE, F.lit(""))
-    rows = drop_duplicate_rows(df, row=row)
+    # one row per distinct content, with the number of its first row
+    rows = first_rows(df, SCOPE, _business(df), row).select(df.columns)
     first = first_rows(rows, SCOPE, list(key), row)
-    again = mark(rows, first, [*SCOPE, row], "_first").filter("not _first").drop("_first")
+    again = mark(rows, first, [row, *SCOPE], "_first").filter("not _first").drop("_first")
     return _reject(again, PK_DUPLICATE, _key_text(key))
 
 
@@ -64,30 +60,35 @@ def dq_gate(
     """Every row with its verdict; ``_dq_issue`` is NULL on clean rows.
 
     Both keep-first checks are aggregates that combine on the map side, and the
-    verdict returns to the rows by row number. No task ever holds a key group.
+    verdict returns to the rows by row number. No task ever holds a key group. The
+    rows are first spread by row number: the aggregate and the join then read the
+    same exchange, and the cleaning below it runs once.
     """
-    on = [*SCOPE, row]
+    on = [row, *SCOPE]  # the number first: it sorts by prefix
+    # scope columns that cannot be NULL keep the two uses of the exchange alike
+    known = {c: F.coalesce(F.col(c), F.lit("")) for c in SCOPE}
+    df = df.withColumns(known).repartition(*on)
     copies = first_rows(df, SCOPE, _business(df), row)
     keyed = bool(key) and all(k in df.columns for k in key)
     # the first row of a key is also the first of its copies, so the key check
     # refines the aggregate above instead of reading the rows again
     heads = first_rows(copies, SCOPE, list(key), row) if keyed else None
-    marked = mark(df, copies, on, "_unique")
+    judged = df.withColumn("_failed", rule_failures(df, rules))
+    marked = mark(judged, copies, on, "_unique")
     marked = mark(marked, heads, on, "_head") if keyed else marked.withColumn("_head", F.lit(True))
-    failed = rule_failures(df, rules)
     issue = (
         F.when(~F.col("_unique"), DUPLICATE_ROW)
         .when(~F.col("_head"), PK_DUPLICATE)
-        .when(failed != "", DATATYPE)
+        .when(F.col("_failed") != "", DATATYPE)
     )
     detail = (
         F.when(~F.col("_unique"), COPY_TEXT)
         .when(~F.col("_head"), _key_text(key) if keyed else F.lit(None))
-        .when(failed != "", failed)
+        .when(F.col("_failed") != "", F.col("_failed"))
     )
     return (
         marked.withColumns({"_dq_issue": issue, "_dq_detail": detail})
-        .drop("_unique", "_head")
+        .drop("_unique", "_head", "_failed")
         .withColumns(
             {
                 "_dq_action": F.when(F.col("_dq_issue").isNotNull(), REMOVED),

@@ -115,8 +115,11 @@ def _points(spark, d) -> DataFrame:
     return fc.forecast_points_per_pair(t.forecasts(spark, d), HORIZON)
 
 
-def _quality_log(spark, d) -> DataFrame:
-    tagged = _tagged(spark, d)
+def _stored_tagged(spark, d) -> DataFrame:
+    return materialize(spark, _tagged(spark, d), "tagged")
+
+
+def _quality_log(tagged: DataFrame) -> DataFrame:
     repairs = {
         "NULL_UNIT_PRICE": (F.col("unit_price").isNull() & F.col("amount").isNotNull(), "unit_price"),
         "NULL_AMOUNT": (F.col("amount").isNull() & F.col("unit_price").isNotNull(), "amount"),
@@ -130,10 +133,10 @@ def _quality_log(spark, d) -> DataFrame:
     return audit.quality_log_build(tagged, "transaction_id", batch, repairs, flags)
 
 
-def _batches(spark, d) -> DataFrame:
+def _batches(spark, d, verdicts: DataFrame) -> DataFrame:
     """Audit rows of the point-of-sale feed, one load batch per length of store id."""
     known = t.target_keys(spark, d).withColumn("known", F.lit(True))
-    tagged = _tagged(spark, d).join(known, "transaction_id", "left")
+    tagged = verdicts.join(known, "transaction_id", "left")
     marks = {
         "repaired": F.col("unit_price").isNull() != F.col("amount").isNull(),
         "flagged": (F.col("store_id") == "STORE999") | (F.col("sku") == "SKU999"),
@@ -651,18 +654,18 @@ def series_profile(spark, d):
 
 @query
 def quality_by_issue(spark, d):
-    return audit.quality_by_issue(_quality_log(spark, d))
+    return audit.quality_by_issue(_quality_log(_tagged(spark, d)))
 
 
 @query
 def quality_by_action(spark, d):
-    return audit.quality_by_action(_quality_log(spark, d))
+    return audit.quality_by_action(_quality_log(_tagged(spark, d)))
 
 
 @query
 def quality_summary(spark, d):
-    log = materialize(spark, _quality_log(spark, d), "quality-log")
-    return audit.quality_summary(log, materialize(spark, _batches(spark, d), "batches"))
+    tagged = _stored_tagged(spark, d)
+    return audit.quality_summary(_quality_log(tagged), _batches(spark, d, tagged))
 
 
 @query
@@ -700,7 +703,7 @@ def latest_run(spark, d):
 
 @query
 def latest_batch(spark, d):
-    return audit.latest_batch(_batches(spark, d))
+    return audit.latest_batch(_batches(spark, d, _tagged(spark, d)))
 
 
 @query
@@ -755,8 +758,9 @@ def unify_channels(spark, d):
 @query
 def bounded_context(spark, d):
     cube = materialize(spark, sl.revenue_cube(_enriched(spark, d)), "cube")
-    log = materialize(spark, _quality_log(spark, d), "quality-log")
-    return context.bounded_context(cube, log, _batches(spark, d), t.forecasts(spark, d))
+    tagged = _stored_tagged(spark, d)
+    batches = _batches(spark, d, tagged)
+    return context.bounded_context(cube, _quality_log(tagged), batches, t.forecasts(spark, d))
 
 
 @query
@@ -902,12 +906,12 @@ def currency_normalize(spark, d):
 
 @query
 def quality_log_build(spark, d):
-    return _quality_log(spark, d)
+    return _quality_log(_tagged(spark, d))
 
 
 @query
 def load_batch_audit(spark, d):
-    return _batches(spark, d)
+    return _batches(spark, d, _tagged(spark, d))
 
 
 # ---- streaming

@@ -217,7 +217,8 @@ def pos_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         amount.cast("string"),
     )
     key = F.concat_ws("-", "l_orderkey", "l_linenumber")
-    feed = numbered(spark, sf_dir, "lineitem").select(
+    # the test file is one row group: spread it before the costly texts are built
+    feed = numbered(spark, sf_dir, "lineitem").hint("rebalance").select(
         FILE,
         F.lit("Sales").alias(SHEET),
         (F.col(ROW) * 2).alias(ROW),
