@@ -23,6 +23,8 @@ MODEL_VERSION = "piecewise-v1"
 INTERVAL = 0.90
 CHANGEPOINTS, CHANGEPOINT_RANGE, CHANGEPOINT_PRIOR = 25, 0.90, 0.05
 EFFECT_PRIOR = 10.0
+# a cycle the history does not cover once says little about the days ahead
+PARTIAL_CYCLE_PRIOR = 0.03
 WEEKLY, YEARLY = (7.0, 3), (365.25, 10)
 ROUNDS, DRAWS = 6, 400
 
@@ -42,7 +44,7 @@ def fit_forecast(frame: DataFrame, interval: float = INTERVAL) -> DataFrame:
             out = _fit_pair(pdf.sort_values("ds"), interval, "|".join(pair.values()))
             out["error"] = None
         except Exception as e:  # one bad series must not end the job
-            out = pd.DataFrame([{"error": f"{type(e).__name__}: {e}"}])
+            out = pd.DataFrame([{"ds": None, "error": f"{type(e).__name__}: {e}"}])
         return out.assign(**pair).reindex(columns=[c.split()[0] for c in FIT.split(", ")])
 
     numeric = frame.withColumns({c: F.col(c).cast("double") for c in ("y", "promo_active")})
@@ -58,15 +60,21 @@ def _ridge(x: np.ndarray, y: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     return np.linalg.solve(x.T @ x + np.diag(penalty), x.T @ y)
 
 
-def _effects(pdf: pd.DataFrame, days: np.ndarray, train: np.ndarray) -> np.ndarray:
-    """Effect columns of all days; those constant over the history stay out."""
+def _effects(pdf: pd.DataFrame, days: np.ndarray, train: np.ndarray) -> tuple:
+    """Effect columns of all days and the prior width of each column."""
+    span = days[train][-1] - days[train][0] + 1
+    cols, widths = [], []
+    for period, order in (WEEKLY, YEARLY):
+        cols.append(_waves(days, period, order))
+        width = EFFECT_PRIOR if span >= period else PARTIAL_CYCLE_PRIOR
+        widths += [width] * 2 * order
     labels = sorted({h for hs in pdf["holidays"][train] for h in hs})
-    marks = np.array([[h in hs for h in labels] for hs in pdf["holidays"]], float)
-    cols = [_waves(days, *WEEKLY), _waves(days, *YEARLY), marks.reshape(len(pdf), -1)]
+    cols += [np.array([label in hs for hs in pdf["holidays"]], float)[:, None] for label in labels]
     promo = pdf["promo_active"].to_numpy(float)
     if promo[train].sum() > 0:
         cols.append(promo[:, None])
-    return np.hstack(cols)
+    x = np.hstack(cols)
+    return x, np.array(widths + [EFFECT_PRIOR] * (x.shape[1] - len(widths)))
 
 
 def _fit_pair(pdf: pd.DataFrame, interval: float, name: str) -> pd.DataFrame:
@@ -84,19 +92,18 @@ def _fit_pair(pdf: pd.DataFrame, interval: float, name: str) -> pd.DataFrame:
     picks = np.linspace(0, len(history) - 1, min(CHANGEPOINTS, len(history) - 1) + 1)
     knots = history[picks.round().astype(int)][1:]
     trend = np.column_stack([np.ones_like(t), t, np.maximum(t[:, None] - knots, 0)])
-    x = _effects(pdf, days, train)
+    x, widths = _effects(pdf, days, train)
 
     a_all, a, xt, yt = trend, trend[train], x[train], y[train]
-    season, bends, noise = np.zeros(len(yt)), np.full(len(knots), CHANGEPOINT_PRIOR), yt.var() or 1e-6
+    season, bends = np.zeros(len(yt)), np.full(len(knots), CHANGEPOINT_PRIOR)
+    noise = yt.var() or 1e-6
     for _ in range(ROUNDS):
         # absolute-value prior on slope changes, as reweighted squares
         bend = noise / (CHANGEPOINT_PRIOR * np.maximum(np.abs(bends), 1e-4))
         lift = (1 + season)[:, None]
         slope = _ridge(a * lift, yt, np.concatenate([[1e-8, 1e-8], bend]))
         level, bends = a @ slope, slope[2:]
-        effect = _ridge(
-            xt * level[:, None], yt - level, np.full(x.shape[1], noise / EFFECT_PRIOR**2 + 1e-9)
-        )
+        effect = _ridge(xt * level[:, None], yt - level, noise / widths**2 + 1e-9)
         season = xt @ effect
         noise = max(np.var(yt - level * (1 + season)), 1e-10)
 

@@ -52,17 +52,21 @@ def usable_sales(
 
 def sales_enriched(
     sales: DataFrame,
-    products: DataFrame,
-    stores: DataFrame,
+    products: DataFrame | None = None,
+    stores: DataFrame | None = None,
     start: date | None = None,
     end: date | None = None,
 ) -> DataFrame:
-    facts = usable_sales(sales, start, end).select(
+    """Usable sales with category, brand and region; a dimension that the question
+    does not need may stay out."""
+    out = usable_sales(sales, start, end).select(
         "transaction_ts", "ds", "store_id", "sku", "quantity", "unit_price", "revenue"
     )
-    return facts.join(products.select("sku", "category", "brand"), "sku", "left").join(
-        stores.select("store_id", "region"), "store_id", "left"
-    )
+    if products is not None:
+        out = out.join(products.select("sku", "category", "brand"), "sku", "left")
+    if stores is not None:
+        out = out.join(stores.select("store_id", "region"), "store_id", "left")
+    return out
 
 
 def sku_attr_join(by_sku: DataFrame, products: DataFrame) -> DataFrame:

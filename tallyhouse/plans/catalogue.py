@@ -55,11 +55,21 @@ def query(f):
 
 
 def _enriched(spark, d, **span) -> DataFrame:
-    return sl.sales_enriched(t.sales(spark, d), t.products(spark, d), t.stores(spark, d), **span)
+    sales = t.sales(spark, d, lineage=False)
+    return sl.sales_enriched(sales, t.products(spark, d), t.stores(spark, d), **span)
+
+
+def _by_product(spark, d) -> DataFrame:
+    sales = t.sales(spark, d, lineage=False)
+    return sl.sales_enriched(sales, products=t.products(spark, d))
+
+
+def _by_store(spark, d) -> DataFrame:
+    return sl.sales_enriched(t.sales(spark, d, lineage=False), stores=t.stores(spark, d))
 
 
 def _usable(spark, d) -> DataFrame:
-    return sl.usable_sales(t.sales(spark, d))
+    return sl.usable_sales(t.sales(spark, d, lineage=False))
 
 
 def _landed(spark, d) -> DataFrame:
@@ -92,7 +102,7 @@ def _rejected(spark, d) -> DataFrame:
 
 
 def _series(spark, d) -> DataFrame:
-    return sr.daily_series(t.sales(spark, d), t.products(spark, d), t.stores(spark, d))
+    return sr.daily_series(t.sales(spark, d, lineage=False), t.products(spark, d), t.stores(spark, d))
 
 
 def _stored_series(spark, d) -> DataFrame:
@@ -222,7 +232,7 @@ def route_sheet(spark, d):
 @query
 def scan_curated(spark, d):
     found = tables.scan_curated(
-        {"sales": t.sales(spark, d), "products": t.products(spark, d), "stores": t.stores(spark, d)},
+        {"sales": t.sales(spark, d, lineage=False), "products": t.products(spark, d), "stores": t.stores(spark, d)},
         {
             "sales": ["transaction_id", "sku", "store_id", "quantity", "unit_price", "revenue"],
             "products": ["sku", "category", "brand"],
@@ -521,7 +531,7 @@ def sales_enriched(spark, d):
 
 @query
 def series_join(spark, d):
-    return sr.series_join(t.sales(spark, d), t.products(spark, d), t.stores(spark, d))
+    return sr.series_join(t.sales(spark, d, lineage=False), t.products(spark, d), t.stores(spark, d))
 
 
 @query
@@ -573,7 +583,7 @@ def regressor_lookup(spark, d):
 
 @query
 def month_pair_join(spark, d):
-    return sl.month_pairs(sl.category_month_revenue(_enriched(spark, d)))
+    return sl.month_pairs(sl.category_month_revenue(_by_product(spark, d)))
 
 
 # ---- aggregations
@@ -591,12 +601,12 @@ def kpi_headline(spark, d):
 
 @query
 def revenue_by_category(spark, d):
-    return sl.revenue_by(_enriched(spark, d), "category")
+    return sl.revenue_by(_by_product(spark, d), "category")
 
 
 @query
 def revenue_by_region(spark, d):
-    return sl.revenue_by(_enriched(spark, d), "region")
+    return sl.revenue_by(_by_store(spark, d), "region")
 
 
 @query
@@ -606,12 +616,11 @@ def insights_aggregates(spark, d):
 
 @query
 def revenue_share(spark, d):
-    enriched = _enriched(spark, d)
     parts = [
-        sl.revenue_share(enriched, dim).select(
+        sl.revenue_share(placed(spark, d), dim).select(
             F.lit(dim).alias("dim"), F.col(dim).alias("name"), "revenue", "share"
         )
-        for dim in ("category", "region")
+        for dim, placed in (("category", _by_product), ("region", _by_store))
     ]
     return parts[0].unionByName(parts[1])
 
@@ -623,12 +632,12 @@ def monthly_revenue_12(spark, d):
 
 @query
 def category_month_revenue(spark, d):
-    return sl.category_month_revenue(_enriched(spark, d))
+    return sl.category_month_revenue(_by_product(spark, d))
 
 
 @query
 def category_mom_growth(spark, d):
-    return sl.category_mom_growth(_enriched(spark, d))
+    return sl.category_mom_growth(_by_product(spark, d))
 
 
 @query
@@ -638,7 +647,7 @@ def data_span(spark, d):
 
 @query
 def product_performance(spark, d):
-    usable = sl.usable_sales(t.sales(spark, d), START, END)
+    usable = sl.usable_sales(t.sales(spark, d, lineage=False), START, END)
     return sl.product_performance(usable, t.products(spark, d), 100)
 
 
@@ -718,12 +727,12 @@ def promo_overlap_max(spark, d):
 
 @query
 def top_category(spark, d):
-    return sl.top_member(_enriched(spark, d), "category")
+    return sl.top_member(_by_product(spark, d), "category")
 
 
 @query
 def top_region(spark, d):
-    return sl.top_member(_enriched(spark, d), "region")
+    return sl.top_member(_by_store(spark, d), "region")
 
 
 @query

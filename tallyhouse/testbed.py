@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyhouse.operators.series import daily_series
+from tallyhouse.session import scratch
 from tallyhouse.sources.workbooks import CELLS
 from tallyhouse.specs import FILE, ROW, SHEET
 
@@ -42,13 +43,15 @@ def _text(c: str) -> Column:
     return F.col(c).cast("string")
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curated fact: a POS half with amounts and an online half without."""
+def sales(spark: SparkSession, sf_dir: str, lineage: bool = True) -> DataFrame:
+    """Curated fact: a POS half with amounts and an online half without. Without
+    ``lineage`` the scan does not build file names and row numbers."""
     qty = F.col("l_quantity").cast("decimal(12,4)")
     price = F.col("l_extendedprice").cast("decimal(12,4)")
     paid = (qty * price * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(14,4)")
     pos = F.col("l_linestatus") == "F"
-    return numbered(spark, sf_dir, "lineitem").select(
+    lines = numbered(spark, sf_dir, "lineitem") if lineage else table(spark, sf_dir, "lineitem")
+    return lines.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_id"),
         F.when(~_every(211, 0), F.col("l_shipdate")).alias("transaction_ts"),
         F.when(_every(199, 1), "STORE999").otherwise(_text("l_suppkey")).alias("store_id"),
@@ -58,8 +61,7 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(pos & ~_every(49, 4), paid).alias("revenue"),
         F.when(_every(67, 0), "EUR").otherwise("USD").alias("currency"),
         F.when(pos, POS).otherwise(ONLINE).alias("source_system"),
-        F.col(FILE).alias("source_file"),
-        ROW,
+        *([F.col(FILE).alias("source_file"), F.col(ROW)] if lineage else []),
     )
 
 
@@ -75,7 +77,25 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """A dimension as a curated table, written once per session. Its file size then
+    tells the planner whether it may be broadcast; the estimate of a join cannot."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir, "stores", lambda: _stores(spark, sf_dir))
+
+
+def _stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").join(
         table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
@@ -138,7 +158,7 @@ def campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def competitor_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every online sale line read as one price observation of a competitor."""
-    seen = sales(spark, sf_dir).filter("transaction_ts is not null and unit_price is not null")
+    seen = sales(spark, sf_dir, False).filter("transaction_ts is not null and unit_price is not null")
     return (
         seen.join(products(spark, sf_dir).select("sku", "category"), "sku")
         .join(stores(spark, sf_dir).select("store_id", "region"), "store_id")
@@ -171,7 +191,7 @@ def product_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exchange rates of the currencies seen in the sales."""
-    seen = sales(spark, sf_dir).select("currency").distinct()
+    seen = sales(spark, sf_dir, False).select("currency").distinct()
     rate = F.when(F.col("currency") == "EUR", 1.08).cast("decimal(8,4)")
     return seen.select("currency", rate.alias("rate")).filter("rate is not null")
 
@@ -375,7 +395,7 @@ def _cell(v, numeric: bool) -> str:
 
 def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily revenue read as forecast points of one run per year."""
-    series = daily_series(sales(spark, sf_dir), products(spark, sf_dir), stores(spark, sf_dir))
+    series = daily_series(sales(spark, sf_dir, False), products(spark, sf_dir), stores(spark, sf_dir))
     y = F.col("y").cast("decimal(14,4)")
     width = (1 + F.dayofmonth("ds")).cast("decimal(4,2)") / 100
     return series.select(
