@@ -32,7 +32,7 @@ def mark(df: DataFrame, rows: DataFrame, on: list[str], flag: str) -> DataFrame:
 
 
 def antijoin(new: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` whose key ``target`` does not hold.
+    """Rows of ``new``, one per key, whose key ``target`` does not hold.
 
     The target is first cut down to the keys of the batch. While the batch's keys
     stay below the broadcast threshold the big side is then never shuffled.

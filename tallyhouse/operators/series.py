@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tallyhouse.functions.columns import MONEY_OUT
 from tallyhouse.operators.calendars import (
     date_spine,
     holiday_effects,
@@ -13,7 +14,7 @@ from tallyhouse.operators.calendars import (
 )
 from tallyhouse.operators.keys import first_per_key
 from tallyhouse.operators.sales import derive_revenue
-from tallyhouse.functions.columns import MONEY_OUT
+from tallyhouse.session import materialize
 from tallyhouse.specs import ROW
 
 PAIR = ["category", "region"]
@@ -21,16 +22,26 @@ MIN_HISTORY_DAYS = 60
 
 
 def series_join(sales: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
-    """Sales that fall into a pair; the first row of each dimension key counts."""
+    """Sales that fall into a pair; the first row of each dimension key counts.
+
+    The two reduced dimensions are stored first: their true size then decides between
+    broadcast and merge, and a merge of plain tables lets adaptive execution split a
+    hot product or store.
+    """
     facts = derive_revenue(sales.filter("transaction_ts is not null")).select(
         F.to_date("transaction_ts").alias("ds"), "sku", "store_id", "revenue"
     )
-    sku = first_per_key(products.select("sku", "category", ROW), ["sku"], ROW).drop(ROW)
-    store = first_per_key(stores.select("store_id", "region", ROW), ["store_id"], ROW).drop(ROW)
+    sku = _first_stored(products, "sku", "category")
+    store = _first_stored(stores, "store_id", "region")
     placed = facts.filter("revenue is not null").join(sku, "sku").join(store, "store_id")
     return placed.filter("category is not null and region is not null")
 
 
+def _first_stored(dim: DataFrame, key: str, value: str) -> DataFrame:
+    first = first_per_key(dim.select(key, value, ROW), [key], ROW)
+    return materialize(dim.sparkSession, first.drop(ROW), f"dim-{key}")
+
+
 def daily_series(sales: DataFrame, products: DataFrame, stores: DataFrame) -> DataFrame:
     placed = series_join(sales, products, stores)
     return placed.groupBy("ds", *PAIR).agg(F.sum("revenue").cast(MONEY_OUT).alias("y"))

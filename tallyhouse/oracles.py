@@ -375,8 +375,8 @@ BODIES: dict[str, str] = {
     "sku_attr_join": f"""SELECT b.sku, revenue, brand, category FROM (SELECT sku, {REV} FROM v_usable GROUP BY sku) b
         LEFT JOIN v_products p ON p.sku = b.sku""",
     "promo_interval_join": "SELECT category, region, ds, intensity FROM v_promo_hits",
-    "insert_ignore_antijoin": """SELECT transaction_id, _row_idx AS row_idx FROM v_sales
-        WHERE transaction_id NOT IN (SELECT transaction_id FROM v_known)""",
+    "insert_ignore_antijoin": """SELECT transaction_id, MIN(_row_idx) AS row_idx FROM v_sales
+        WHERE transaction_id NOT IN (SELECT transaction_id FROM v_known) GROUP BY transaction_id""",
     "regressor_lookup": "SELECT category, region, ds, y, promo_active FROM v_series JOIN v_promo_days USING (category, region, ds)",
     "month_pair_join": "SELECT category, revenue_cur, revenue_prev FROM v_pairs",
     "revenue_kpis": f"""SELECT 'total' AS section, 'ALL' AS name, {REV}, COUNT(*) AS n FROM v_enriched WHERE {SPAN}

@@ -548,7 +548,8 @@ def promo_interval_join(spark, d):
 @query
 def insert_ignore_antijoin(spark, d):
     rows = t.sales(spark, d).select("transaction_id", F.col(ROW).alias("row_idx"))
-    return keys.antijoin(rows, t.target_keys(spark, d), ["transaction_id"])
+    once = keys.first_per_key(rows, ["transaction_id"], "row_idx")
+    return keys.antijoin(once, t.target_keys(spark, d), ["transaction_id"])
 
 
 LAYERS = {
@@ -1001,7 +1002,8 @@ def _file_sink(spark, stream: DataFrame, name: str) -> DataFrame:
 @query
 def stream_dedup(spark, d):
     stream = st.read_drops(spark, _drops(spark, _events(spark, d)), EVENT)
-    unique = st.stream_dedup(stream, ["event_id"], "ts", "40 days")
+    rows = stream.select("*", F.col("_metadata.row_index").alias(ROW))
+    unique = st.stream_dedup(rows, ["event_id"], "ts", "40 days", spread=ROW)
     return _file_sink(spark, unique, "dedup").select("event_id", "category", "region", "value")
 
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tallyhouse.functions.columns import is_blank, strip
+from tallyhouse.session import materialize
 from tallyhouse.sources.workbooks import CELLS
 from tallyhouse.specs import FILE, HEADER_SCAN_ROWS, ROW, SHEET, FeedSpec
 
@@ -28,7 +29,13 @@ def drop_ghost_sheets(grid: DataFrame) -> DataFrame:
         F.max(ROW).alias("last_row"), F.max(filled(F.col(CELLS))).alias("fullest")
     )
     live = sizes.join(_headers(grid), SHEET_KEY).filter("fullest > 0 and last_row > header_row")
-    return grid.join(live.select(*SHEET_KEY), SHEET_KEY, "left_semi")
+    return grid.join(_listed(live.select(*SHEET_KEY)), SHEET_KEY, "left_semi")
+
+
+def _listed(sheets: DataFrame) -> DataFrame:
+    """One row per sheet as a stored table: its true size decides whether the rows
+    meet it by broadcast or by merge, where a sheet that dominates can be split."""
+    return materialize(sheets.sparkSession, sheets, "sheets")
 
 
 def detect_header(grid: DataFrame, max_scan: int = HEADER_SCAN_ROWS) -> DataFrame:
@@ -64,7 +71,8 @@ def grid_to_table(
     the position of its name in the header of its own sheet. Without ``columns``
     the distinct header names, a piece of metadata, are looked up first.
     """
-    headers = _headers(grid, max_scan).withColumn("header", header_names(F.col("header")))
+    named = _headers(grid, max_scan).withColumn("header", header_names(F.col("header")))
+    headers = _listed(named)
     if columns is None:
         names = headers.select(F.posexplode("header").alias("at", "name"))
         ordered = names.groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name")

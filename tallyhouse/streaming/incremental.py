@@ -15,6 +15,9 @@ from tallyhouse.session import materialize
 from tallyhouse.specs import FILE, ROW, SHEET, FeedSpec
 
 
+SPREAD = 16
+
+
 def read_drops(
     spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 1000
 ) -> DataFrame:
@@ -72,9 +75,20 @@ def stream_incremental_ingest(
     each_batch(lines, checkpoint, load)
 
 
-def stream_dedup(stream: DataFrame, key: Sequence[str], ts: str, delay: str) -> DataFrame:
-    """First arrival of each key; keys are kept for ``delay`` of event time."""
-    return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(list(key))
+def stream_dedup(
+    stream: DataFrame, key: Sequence[str], ts: str, delay: str, spread: str | None = None
+) -> DataFrame:
+    """One arrival of each key; keys are kept for ``delay`` of event time.
+
+    A streaming dedup has no map-side step, so all rows of a hot key meet in one task.
+    With ``spread``, a fixed row number, the key is first deduplicated in SPREAD
+    shares, and only one row of each share goes on.
+    """
+    marked = stream.withWatermark(ts, delay)
+    if spread:
+        marked = marked.withColumn("_share", F.pmod(F.col(spread), F.lit(SPREAD)))
+        marked = marked.dropDuplicatesWithinWatermark([*key, "_share"]).drop("_share")
+    return marked.dropDuplicatesWithinWatermark(list(key))
 
 
 def stream_late_flag(stream: DataFrame, bound: Column, ts: str) -> DataFrame:

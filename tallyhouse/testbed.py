@@ -81,8 +81,8 @@ _STORED: dict[tuple[str, str, str], str] = {}
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
-    """A dimension as a curated table, written once per session. Its file size then
-    tells the planner whether it may be broadcast; the estimate of a join cannot."""
+    """A view as a curated table, written once per session. Its file size then tells
+    the planner whether it may be broadcast; the estimate of a join cannot."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _STORED:
         path = scratch(spark, name)
@@ -191,6 +191,10 @@ def product_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exchange rates of the currencies seen in the sales."""
+    return stored(spark, sf_dir, "rates", lambda: _rates(spark, sf_dir))
+
+
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = sales(spark, sf_dir, False).select("currency").distinct()
     rate = F.when(F.col("currency") == "EUR", 1.08).cast("decimal(8,4)")
     return seen.select("currency", rate.alias("rate")).filter("rate is not null")
@@ -411,7 +415,11 @@ def forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders whose lines an earlier load has already landed, one row per line."""
+    """Keys an earlier load has landed: the lines of finished orders, each key once."""
+    return stored(spark, sf_dir, "target", lambda: _target_keys(spark, sf_dir))
+
+
+def _target_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select("o_orderkey")
     lines = table(spark, sf_dir, "lineitem")
     return lines.join(done, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").select(
