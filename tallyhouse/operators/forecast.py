@@ -48,6 +48,10 @@ def fit_forecast(frame: DataFrame, interval: float = INTERVAL) -> DataFrame:
         return out.assign(**pair).reindex(columns=[c.split()[0] for c in FIT.split(", ")])
 
     numeric = frame.withColumns({c: F.col(c).cast("double") for c in ("y", "promo_active")})
+    # little data but much work per pair: a fixed number of partitions keeps adaptive
+    # execution from packing many pairs into one task by their size
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numeric = numeric.repartition(tasks, *PAIR)
     return numeric.groupBy(*PAIR).applyInPandas(fit, FIT)
 
 

@@ -48,7 +48,9 @@ def sales(spark: SparkSession, sf_dir: str, lineage: bool = True) -> DataFrame:
     ``lineage`` the scan does not build file names and row numbers."""
     qty = F.col("l_quantity").cast("decimal(12,4)")
     price = F.col("l_extendedprice").cast("decimal(12,4)")
-    paid = (qty * price * (1 - F.col("l_discount").cast("decimal(4,2)"))).cast("decimal(14,4)")
+    # exact to four places, so rounding the DOUBLE product loses nothing
+    paid = F.col("l_quantity") * F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    paid = paid.cast("decimal(14,4)")
     pos = F.col("l_linestatus") == "F"
     lines = numbered(spark, sf_dir, "lineitem") if lineage else table(spark, sf_dir, "lineitem")
     return lines.select(
@@ -342,7 +344,7 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workbooks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All orders packed into workbook files, one per Arrow batch: (path, content)."""
-    rows = numbered(spark, sf_dir, "orders").select(
+    rows = table(spark, sf_dir, "orders").hint("rebalance").select(
         F.array(
             _text("o_orderkey"),
             _text("o_custkey"),
