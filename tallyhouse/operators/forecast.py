@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyhouse.operators.layers import replace_forecasts  # noqa: F401  (public here too)
 from tallyhouse.operators.series import PAIR
 
 MODEL_VERSION = "piecewise-v1"

@@ -7,7 +7,6 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallyhouse import testbed as t
-from tallyhouse.functions.columns import MONEY_OUT, month_of
 from tallyhouse.functions.rules import violates
 from tallyhouse.operators import (
     audit,
@@ -23,14 +22,13 @@ from tallyhouse.operators import (
     series as sr,
 )
 from tallyhouse.operators import keys
-from tallyhouse.plans import context, ingest
+from tallyhouse.plans import context
 from tallyhouse.session import materialize, scratch
 from tallyhouse.sources import files, grids, tables, workbooks as wb
 from tallyhouse.specs import (
     FEEDS,
     FILE,
     FORECASTS,
-    PRODUCTS,
     ROW,
     SALES,
     SHEET,
@@ -95,7 +93,7 @@ def _tagged(spark, d) -> DataFrame:
 
 
 def _rejected(spark, d) -> DataFrame:
-    """Rejected rows in three reports, by the month in the row's stamp modulo 3."""
+    """Rejected rows as three reports, of the runs of three days."""
     rejected = dq.rejected_rows(_tagged(spark, d))
     day = F.concat(F.lit("2024070"), (F.col(ROW) % 3 + 1).cast("string"), F.lit("_060000"))
     return rejected.withColumn("report", dq.dq_report_name(day))

@@ -4,7 +4,6 @@ from datetime import datetime
 from decimal import Decimal as D
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallyhouse.plans.catalogue import DROP, EVENT_SPEC
 from tallyhouse.plans.ingest import run_ingest

@@ -351,3 +351,34 @@ def test_forecast_replace_touches_only_its_group(spark, tmp_path):
     got = {(str(r["run_date"]), r["category"], r["model_version"]): r["n"] for r in
            spark.read.parquet(path).groupBy("run_date", "category", "model_version").agg(F.count("*").alias("n")).collect()}
     assert got == {("2024-06-30", "A", "v2"): 2, ("2024-06-30", "B", "v1"): 5, ("2024-05-31", "A", "v1"): 3}
+
+
+def test_unknown_keys_are_flagged_and_kept(spark):
+    sales, products, _ = star(spark)
+    out = sl.unknown_key_flag(sales.withColumn("sku", F.when(F.col("transaction_id") == "T4", "SKU999").otherwise(F.col("sku"))), products, "sku")
+    assert [(r["transaction_id"], r["action"]) for r in out.collect()] == [("T4", "FLAGGED")]
+
+
+def test_late_rows_keep_their_flag(spark):
+    df = spark.createDataFrame([(datetime(2022, 1, 15),), (datetime(2022, 2, 1),), (None,)], "transaction_ts timestamp_ntz")
+    out = sl.late_arriving_flag(df, F.lit(datetime(2022, 2, 1)).cast("timestamp_ntz"))
+    assert [r["is_late_arriving"] for r in out.collect()] == [True, False, False]
+
+
+def test_repairs(spark):
+    df = spark.createDataFrame([(None, D(4), D(10)), (D(5), D(2), None), (None, D(0), D(3)), (None, None, None)],
+                               "unit_price decimal(12,4), quantity decimal(12,4), revenue decimal(14,4)")
+    got = [r[:] for r in sl.repair_price(df).select("unit_price", "price_action").collect()]
+    assert got == [(D("2.5"), "REPAIRED"), (D(5), None), (None, None), (None, None)]
+    got = [r[:] for r in sl.repair_amount(df).select("revenue", "amount_action").collect()]
+    assert got == [(D(10), None), (D(10), "REPAIRED"), (D(3), None), (None, None)]
+
+
+def test_empty_growth_says_so(spark):
+    rows = [(date(2024, 1, 5), "A", "R", D(7), 1)]
+    cube = spark.createDataFrame(rows, "ds date, category string, region string, revenue decimal(18,4), n long")
+    log = spark.createDataFrame([("X",)], "issue_type string")
+    out = context.bounded_context(cube, log, log.limit(0), points(spark, date(2024, 6, 30), [("A", "X")], 2))
+    got = {(r["section"], r["line_no"]): r["text"] for r in out.collect()}
+    assert got[(5, 1)] == "N/A" and got[(6, 2)] == "Total ingestion batches: 0"
+    assert got[(1, 1)] == "Date range : 2024-01-05 to 2024-01-05"
