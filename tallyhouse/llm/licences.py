@@ -29,7 +29,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CONTAINMENT = 0.8
+CONTAINMENT = 0.9
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases with their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -41,8 +41,6 @@ TEMPLATES = (
     ("you may obtain a copy of the license at http www apache org licenses license 2 0", "apache-2"),
     ("licensed under cc by nc 4 0", "cc-by-nc"),
     ("licensed under the creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
-    ("licensed under cc by 4 0", "cc-by"),
-    ("licensed under the creative commons attribution 4 0 international license", "cc-by"),
     ("licensed under cc by sa 4 0", "cc-by-sa"),
     ("this work is licensed under the gnu general public license version 3", "gpl-3"),
     ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
