@@ -8,14 +8,17 @@ run). Its sketch holds the ``K`` least hash values of the set, all of them if fe
    threshold share ``NEED`` of their values but for a chance below one in 100,000 (for
    sets below ``K``: all they must, without exception). So each node stands only in the
    lists of its ``size - NEED + 1`` rarest values: one of them must be common.
-3. Candidates pass a filter by size, then by the share of the union's sketch that both
-   have, and then the exact Jaccard of the whole sets decides.
-4. In a list nodes first meet its hubs only: the node with the most common values, from
-   which copies derive as a rule, and one drawn by hash. That makes a list linear. Nodes
-   then linked are one component. Only pairs of one list from different components are
-   still open; while these are many, lists get further hubs, and in the end all of them
-   are tried. So no link between components is lost, and a large group of near copies
-   does not pair with itself.
+3. Candidates pass a filter by size and by bitmaps of their sketches, which travel with
+   the lists and lose nothing, then by the share of the union's sketch that both have;
+   then the exact Jaccard of the whole sets decides.
+4. In a list nodes first meet its hub only: the node with the most common values, from
+   which copies derive as a rule. That makes a list linear. Nodes then linked are one
+   component. Only pairs of one list from different components are still open; while
+   these are many, lists get a further hub, drawn by hash. In the end all of them are
+   tried but those that cannot be: runs of words that one open node alone has bound the
+   similarity of its pairs from above. Copies of one text with edits of their own, too
+   many to be linked, are told apart by that bound, so a large group of them does not
+   pair with itself; and no link is lost.
 
 Null or empty texts, or texts of blanks, have an empty set and are linked with nothing.
 Repeated rows are one node. A null id takes part; a component is named by its smallest
@@ -39,8 +42,10 @@ from tallyhouse.session import materialize
 
 K = 48
 NEED = 28
+#: A bitmap of the sketch, a bit per value.
+BITS = ["b0", "b1", "b2", "b3"]
 #: Open pairs a list position may cost before lists get further hubs, and how often they may.
-OPEN, HUB_ROUNDS = 8, 3
+OPEN, HUB_ROUNDS = 4, 2
 
 
 def shingle_sets(column, width: int) -> Iterator[np.ndarray]:
@@ -67,14 +72,16 @@ def _name(s: np.ndarray) -> bytes:
 def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, names, kept = [], [], []
-            for s in shingle_sets(batch.column(batch.num_columns - 1), width):
+            sizes, names, kept, bits = [], [], [], np.zeros((batch.num_rows, 256), dtype=np.uint8)
+            for i, s in enumerate(shingle_sets(batch.column(batch.num_columns - 1), width)):
                 sizes.append(len(s))
                 names.append(_name(s))
                 kept.append(s[:K])
+                bits[i, mix(kept[-1].view(np.uint64)) & np.uint64(255)] = 1
+            words = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(kept, pa.list_(pa.int64()))],
-                names=[*batch.schema.names[:-1], "n", "name", "sketch"],
+                [*batch.columns[:-1], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(kept, pa.list_(pa.int64())), *(pa.array(words[:, k].copy()) for k in range(4))],
+                names=[*batch.schema.names[:-1], "n", "name", "sketch", *BITS],
             )
 
     return run
@@ -99,8 +106,15 @@ class _Links:
     def __init__(self, nodes: DataFrame, texts: DataFrame, width: int, percent: int):
         self.nodes, self.texts, self.width, self.percent = nodes, texts, width, percent
 
-    def __call__(self, spark: SparkSession, pairs: DataFrame) -> DataFrame:
-        """pairs: a, b."""
+    def sets(self, spark: SparkSession, ids: DataFrame) -> DataFrame:
+        """id, whole: the whole sets of some nodes."""
+        wanted = ids.join(self.nodes.select("id", "name", "rep_id", "rep_hash"), "id")
+        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
+        sets = texts.select("id", "name", "text").mapInArrow(_keyed_sets(self.width), "id long, whole binary").dropDuplicates(["id"])
+        return materialize(spark, sets, "sets")
+
+    def __call__(self, spark: SparkSession, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """pairs: a, b; sets: the whole sets of their nodes, if they are there already."""
         ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
         small = self.nodes.select("id", "n", "sketch")
         both = ordered.join(small.toDF("a", "n_a", "s_a"), "a").join(small.toDF("b", "n_b", "s_b"), "b")
@@ -111,11 +125,8 @@ class _Links:
         likely = F.when(m < K, F.size(common) >= _need(m, self.percent)).otherwise(F.size(F.array_intersect(union, common)) >= NEED)
         passed = materialize(spark, both.where(likely).select("a", "b"), "candidates")
 
-        wanted = passed.select(F.col("a").alias("id")).unionByName(passed.select(F.col("b").alias("id"))).distinct()
-        wanted = wanted.join(self.nodes.select("id", "name", "rep_id", "rep_hash"), "id")
-        texts = self.texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
-        sets = texts.select("id", "name", "text").mapInArrow(_keyed_sets(self.width), "id long, whole binary").dropDuplicates(["id"])
-        sets = materialize(spark, sets, "sets")
+        if sets is None:
+            sets = self.sets(spark, passed.select(F.col("a").alias("id")).unionByName(passed.select(F.col("b").alias("id"))).distinct())
         first = passed.join(sets.toDF("a", "whole_a"), "a")
         met = first.join(sets.toDF("b", "whole_b"), "b").select("a", "b", "whole_a", "whole_b")
         return materialize(spark, met.mapInArrow(_exact(self.percent), "a long, b long"), "near")
@@ -131,6 +142,13 @@ def _keyed_sets(width: int):
     return run
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i, whole in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            runs = np.frombuffer(whole.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), i)), pa.array(runs)], names=["id", "run"])
+
+
 def _need(size: Column, percent: int) -> Column:
     """The values a node must share, of ``size`` in its sketch."""
     return F.least(F.lit(NEED), F.ceil(size * percent / F.lit(100.0)).cast("int"))
@@ -144,38 +162,34 @@ def near_duplicates(
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = texts.mapInArrow(_sketches(width), f"doc_id {kind}, text_hash long, n long, name binary, sketch array<long>")
+    rows = texts.mapInArrow(_sketches(width), f"doc_id {kind}, text_hash long, n long, name binary, sketch array<long>, b0 long, b1 long, b2 long, b3 long")
     rows = materialize(spark, rows, "sketches")
     nodes = rows.where("n > 0").groupBy("name").agg(
-        F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("doc"), F.min(F.struct("doc_id", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), *(F.first(b).alias(b) for b in BITS)
     )
-    nodes = nodes.select("name", "doc", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "n", "sketch")
+    nodes = nodes.select("name", "doc", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"), "n", "sketch", *BITS)
     nodes = materialize(spark, nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
 
     # each node in the lists of its rarest values; a value of one node alone links nothing
     values = nodes.select("id", F.explode("sketch").alias("value"))
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     own = values.join(shared, "value").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("own"))
-    own = own.join(nodes.select("id", "n", F.size("sketch").alias("size")), "id")
+    own = own.join(nodes.select("id", "n", F.size("sketch").alias("size"), *BITS), "id")
     alone = F.col("size") - F.size("own")
     length = F.col("size") - _need(F.col("size"), percent) + 1 - alone
     common = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["df"])
-    lists = own.where(length > 0).select(
-        "id", "n", F.struct(F.size("own").alias("shared"), common.alias("common"), "id").alias("rank"), F.explode(F.slice("own", F.lit(1), length)).alias("x")
-    )
-    lists = lists.select(F.col("x.value").alias("value"), "id", "n", "rank")
-    lists = materialize(spark, lists, "lists")
+    rank = F.struct(F.size("own").alias("shared"), common.alias("common"), "id")
+    node = F.struct("id", "n", "size", *BITS)
+    lists = own.where(length > 0).select(node.alias("node"), rank.alias("rank"), F.explode(F.slice("own", F.lit(1), length)).alias("x"))
+    lists = materialize(spark, lists.select(F.col("x.value").alias("value"), "node", "rank"), "lists")
 
     link = _Links(nodes, texts, width, percent)
-    central = F.max(F.struct("rank", "n"))
-    drawn = lambda k: F.min(F.struct(F.xxhash64("id", "value", F.lit(k)), "id", "n"))
-    hubs = lists.groupBy("value").agg(
-        F.array(F.struct(central["rank"]["id"].alias("b"), central["n"].alias("m")), F.struct(drawn(0)["id"].alias("b"), drawn(0)["n"].alias("m"))).alias("hubs")
-    )
+    hubs = lists.groupBy("value").agg(F.max(F.struct("rank", "node"))["node"].alias("hub"))
     found = [link(spark, _spokes(lists, hubs, percent))]
     for k in range(1, HUB_ROUNDS + 1):
         group = components(spark, found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found))
-        placed = lists.join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = lists.join(group.withColumnRenamed("node", "of"), F.col("node.id") == F.col("of"), "left")
+        placed = placed.select("value", "node", F.coalesce("component", "node.id").alias("component"))
         placed = materialize(spark, placed, "lists")
         each = placed.groupBy("value", "component").agg(F.count("*").alias("c"))
         mixed = each.groupBy("value").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("groups")).where("groups > 1")
@@ -184,13 +198,22 @@ def near_duplicates(
             break
         open_ = placed.join(mixed.select("value"), "value")
         if cost.pairs <= OPEN * cost.places or k == HUB_ROUNDS:
-            left = open_.select("value", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-            right = open_.select("value", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-            pairs = left.join(right, "value").where((F.col("c_a") < F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-            found.append(link(spark, pairs.select("a", "b")))
+            # runs of words that one open node alone has can be common to no pair
+            sets = link.sets(spark, open_.select("node.id").distinct())
+            runs = sets.mapInArrow(_elements, "id long, run long").groupBy("run").agg(F.count("*").alias("c"), F.min("id").alias("of"))
+            lone = runs.where("c = 1").groupBy("of").agg(F.count("*").alias("lone"))
+            open_ = open_.join(lone, F.col("node.id") == F.col("of"), "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+            left = open_.select("value", F.col("node").alias("x"), F.col("component").alias("c_x"), F.col("lone").alias("u_x"))
+            right = open_.select("value", F.col("node").alias("y"), F.col("component").alias("c_y"), F.col("lone").alias("u_y"))
+            within = F.least(F.col("x.n") - F.col("u_x"), F.col("y.n") - F.col("u_y"))
+            around = F.greatest(F.col("x.n") + F.col("u_y"), F.col("y.n") + F.col("u_x"))
+            fits = (F.col("c_x") < F.col("c_y")) & (100 * within >= percent * around) & _possible(F.col("x"), F.col("y"), percent)
+            pairs = left.join(right, (left["value"] == right["value"]) & fits)
+            found.append(link(spark, pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), sets))
             group = components(spark, reduce(DataFrame.unionByName, found))
             break
-        hubs = open_.groupBy("value").agg(F.array(*(F.struct(drawn(2 * k + j)["id"].alias("b"), drawn(2 * k + j)["n"].alias("m")) for j in (0, 1))).alias("hubs"))
+        drawn = F.min(F.struct(F.xxhash64("node.id", "value", F.lit(k)), "node"))["node"]
+        hubs = open_.groupBy("value").agg(drawn.alias("hub"))
         found.append(link(spark, _spokes(open_, hubs, percent)))
 
     named = nodes.select("id", "name", "doc").join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -203,6 +226,13 @@ def near_duplicates(
 
 
 def _spokes(lists: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
-    met = lists.join(hubs, "value").select(F.col("id").alias("a"), "n", F.explode("hubs").alias("hub"))
-    met = met.select("a", "n", "hub.b", "hub.m").where("a <> b")
-    return met.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b")
+    hubs = hubs.withColumnRenamed("value", "hub_value")
+    met = lists.join(hubs, (F.col("value") == F.col("hub_value")) & (F.col("node.id") != F.col("hub.id")) & _possible(F.col("node"), F.col("hub"), percent))
+    return met.select(F.col("node.id").alias("a"), F.col("hub.id").alias("b"))
+
+
+def _possible(x: Column, y: Column, percent: int) -> Column:
+    """Sets of like size whose sketches' bitmaps differ in no more bits than the sketches may in values."""
+    sizes = 100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"])
+    differ = reduce(lambda a, b: a + b, (F.bit_count(x[b].bitwiseXOR(y[b])) for b in BITS))
+    return sizes & (differ <= x["size"] + y["size"] - 2 * _need(F.least(x["size"], y["size"]), percent))
