@@ -22,8 +22,8 @@ MODEL_VERSION = "piecewise-v1"
 INTERVAL = 0.90
 CHANGEPOINTS, CHANGEPOINT_RANGE, CHANGEPOINT_PRIOR = 25, 0.90, 0.05
 EFFECT_PRIOR = 10.0
+COVERAGE_POWER = 8
 # a cycle the history does not cover once says little about the days ahead
-PARTIAL_CYCLE_PRIOR = 0.03
 WEEKLY, YEARLY = (7.0, 3), (365.25, 10)
 ROUNDS, DRAWS = 6, 400
 
@@ -69,8 +69,8 @@ def _effects(pdf: pd.DataFrame, days: np.ndarray, train: np.ndarray) -> tuple:
     cols, widths = [], []
     for period, order in (WEEKLY, YEARLY):
         cols.append(_waves(days, period, order))
-        width = EFFECT_PRIOR if span >= period else PARTIAL_CYCLE_PRIOR
-        widths += [width] * 2 * order
+        # the less of a cycle the history covers, the closer its effect stays to zero
+        widths += [EFFECT_PRIOR * min(1.0, span / period) ** COVERAGE_POWER] * 2 * order
     labels = sorted({h for hs in pdf["holidays"][train] for h in hs})
     cols += [np.array([label in hs for hs in pdf["holidays"]], float)[:, None] for label in labels]
     promo = pdf["promo_active"].to_numpy(float)

@@ -24,11 +24,13 @@ def first_rows(df: DataFrame, scope: list[str], keys: list[str], order: str) ->
 
 def mark(df: DataFrame, rows: DataFrame, on: list[str], flag: str) -> DataFrame:
     """Flag the rows of ``df`` that are in ``rows``. ``on`` names a row, so the
-    join keys are unique on both sides and spread evenly. ``rows`` may be as long as
-    ``df``, so it is merged and never broadcast."""
-    hit = rows.select(*on, F.lit(True).alias("_hit")).hint("merge")
-    joined = df.join(hit, on, "left")
-    return joined.withColumn(flag, F.col("_hit").isNotNull()).drop("_hit")
+    join keys are unique on both sides and spread evenly; a NULL meets a NULL. ``rows``
+    may be as long as ``df``, so it is merged and never broadcast."""
+    there = [f"_at{i}" for i in range(len(on))]
+    hit = rows.select(*on, F.lit(True).alias("_hit")).toDF(*there, "_hit").hint("merge")
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(on, there)]
+    joined = df.join(hit, same, "left")
+    return joined.withColumn(flag, F.col("_hit").isNotNull()).drop("_hit", *there)
 
 
 def antijoin(new: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

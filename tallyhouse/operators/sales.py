@@ -253,11 +253,16 @@ def unknown_key_flag(df: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     return df.join(dim.select(key), key, "left_anti").withColumn("action", F.lit("FLAGGED"))
 
 
-def currency_normalize(df: DataFrame, rates: DataFrame) -> DataFrame:
-    """Amounts in the base currency; a currency without a rate keeps its amount."""
+def currency_normalize(df: DataFrame, rates: DataFrame, base: str = "USD") -> DataFrame:
+    """Amounts in the base currency. One without a known rate is no amount there: NULL,
+    and the row is flagged."""
     rated = df.join(rates.select("currency", "rate"), "currency", "left")
-    return rated.withColumn(
-        "revenue_usd", (F.col("revenue") * F.coalesce("rate", F.lit(1))).cast(MONEY)
+    rate = F.when(F.col("currency") == base, F.lit(1)).otherwise(F.col("rate"))
+    return rated.withColumns(
+        {
+            "revenue_usd": (F.col("revenue") * rate).cast(MONEY),
+            "currency_action": F.when(rate.isNull(), "FLAGGED"),
+        }
     ).drop("rate")
 
 

@@ -182,6 +182,10 @@ VIEWS: dict[str, str] = {
         file AS source_file, sheet FROM v_gate""",
     "v_rejected": """SELECT *, '2024070' || (row_idx % 3 + 1) || '_060000_lineitem_Sales_dq_report.csv' AS report
         FROM v_verdicts WHERE issue IS NOT NULL""",
+    "v_dates": "SELECT row_idx, ts FROM v_clean",
+    "v_date_votes": "SELECT COUNT(ts) AS n, "
+    + ", ".join(f"COUNT(try_strptime(ts, '{f}')) AS n{i}" for i, f in enumerate(FORMATS))
+    + " FROM v_dates",
     "v_log": """SELECT CAST(length(store_id) + 100 AS INTEGER) AS load_batch_id, file AS source_file,
         transaction_id AS record_identifier, issue_type, field_name, raw_value, action_taken FROM (
         SELECT *, issue AS issue_type, CAST(NULL AS VARCHAR) AS field_name, CAST(NULL AS VARCHAR) AS raw_value, 'REJECTED' AS action_taken
@@ -202,7 +206,9 @@ VIEWS: dict[str, str] = {
         COUNT(*) FILTER (issue IS NOT NULL) AS rejected,
         COUNT(*) FILTER (issue IS NULL AND (unit_price IS NULL) <> (amount IS NULL)) AS repaired,
         COUNT(*) FILTER (issue IS NULL AND (store_id = 'STORE999' OR sku = 'SKU999')) AS flagged,
-        COUNT(*) FILTER (issue IS NULL AND ts[1:4] < '1996') AS late_arriving
+        COUNT(*) FILTER (issue IS NULL AND """
+    + _any_format("ts")
+    + """ < TIMESTAMP '1996-01-01') AS late_arriving
         FROM v_gate g LEFT JOIN v_known k USING (transaction_id) GROUP BY 1""",
     "v_online": """SELECT _row_idx AS row_idx, 'W-' || l_orderkey || '-' || l_linenumber AS order_id,
         strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS order_datetime, CAST(l_suppkey AS VARCHAR) AS location_id,
@@ -268,7 +274,9 @@ def _full(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed) + "\n" + body
+    kept = {"v_dates", "v_date_votes"}  # read more than once
+    parts = (f"{n} AS {'MATERIALIZED ' if n in kept else ''}({VIEWS[n]})" for n in needed)
+    return "WITH " + ",\n".join(parts) + "\n" + body
 
 
 SALES_COLS = (
@@ -323,11 +331,8 @@ BODIES: dict[str, str] = {
     "drop_all_null_rows": "SELECT row_idx, unit_price, amount FROM v_marked WHERE unit_price IS NOT NULL OR amount IS NOT NULL",
     "trim_strings": f"SELECT row_idx, trim(sku, {SPACES}) AS sku, trim(qty, {SPACES}) AS qty FROM v_feed",
     "parse_dates_vote": "SELECT row_idx, CASE "
-    + " ".join(
-        f"WHEN (SELECT COUNT(try_strptime(ts, '{f}')) >= 0.5 * COUNT(ts) FROM v_clean) THEN try_strptime(ts, '{f}')"
-        for f in FORMATS
-    )
-    + f" ELSE {_any_format('ts')} END AS ts FROM v_clean",
+    + " ".join(f"WHEN v.n{i} >= 0.5 * v.n THEN try_strptime(ts, '{f}')" for i, f in enumerate(FORMATS))
+    + f" ELSE {_any_format('ts')} END AS ts FROM v_dates, v_date_votes v",
     "parse_dates_coalesce": f"SELECT row_idx, {_any_format('ts')} AS ts FROM v_clean",
     "coerce_numeric_vote": "SELECT row_idx, "
     + ", ".join(f"{_number(_stripped(c))} AS {c}" for c in RULES)
@@ -503,7 +508,8 @@ BODIES: dict[str, str] = {
         WHERE sku NOT IN (SELECT sku FROM v_products)
         UNION ALL SELECT 'store_id', store_id, _row_idx, 'FLAGGED' FROM v_sales WHERE store_id NOT IN (SELECT store_id FROM v_stores)""",
     "currency_normalize": """SELECT _row_idx AS row_idx, currency, revenue,
-        CAST(revenue * CASE currency WHEN 'EUR' THEN 1.0800 ELSE 1 END AS DECIMAL(18,4)) AS revenue_usd FROM v_sales""",
+        CAST(revenue * CASE currency WHEN 'EUR' THEN 1.0800 WHEN 'USD' THEN 1 END AS DECIMAL(18,4)) AS revenue_usd,
+        CASE WHEN currency IS NULL OR currency NOT IN ('EUR', 'USD') THEN 'FLAGGED' END AS currency_action FROM v_sales""",
     "quality_log_build": "SELECT * FROM v_log",
     "load_batch_audit": "SELECT * FROM v_batches",
     "stream_incremental_ingest": """SELECT CAST(event_id AS VARCHAR) AS transaction_id, date_trunc('second', ts) AS transaction_ts,
@@ -521,14 +527,13 @@ def _inventory() -> dict[str, str]:
     layers = {
         "raw": ["lineitem", "orders", "events"],
         "curated": ["customer", "nation", "part", "region", "supplier"],
+        "public": ["benchmark", "conversations", "documents", "embeddings", "labels", "pages"],
     }
-    unread = ["benchmark", "conversations", "documents", "embeddings", "labels", "pages"]
     parts = [
         f"SELECT '{s}' AS schema_name, '{n}' AS table_name, COUNT(*) AS row_count FROM {n}"
         for s, names in layers.items()
         for n in names
     ]
-    parts += [f"SELECT 'public', '{n}', 0" for n in unread]
     listed = " UNION ALL ".join(parts)
     rolled = f"SELECT schema_name, table_name, CAST(SUM(row_count) AS BIGINT) AS row_count FROM ({listed}) GROUP BY ROLLUP (schema_name, table_name)"
     return {"catalog_join": listed, "table_inventory": rolled}

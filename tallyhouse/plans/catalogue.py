@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallyhouse import testbed as t
+from tallyhouse.functions.columns import to_timestamp_any
 from tallyhouse.functions.rules import violates
 from tallyhouse.operators import (
     audit,
@@ -148,7 +149,7 @@ def _batches(spark, d, verdicts: DataFrame) -> DataFrame:
     marks = {
         "repaired": F.col("unit_price").isNull() != F.col("amount").isNull(),
         "flagged": (F.col("store_id") == "STORE999") | (F.col("sku") == "SKU999"),
-        "late_arriving": F.substring("ts", 1, 4) < "1996",
+        "late_arriving": to_timestamp_any(F.col("ts")) < F.lit("1996-01-01").cast("timestamp_ntz"),
     }
     batch = (F.length("store_id") + 100).cast("int")
     return audit.load_batch_audit(tagged, batch, "INCREMENTAL", F.col("known").isNull(), marks)
@@ -559,7 +560,7 @@ LAYERS = {
 
 def _catalog(spark, d):
     listed = [(s, n) for s, names in LAYERS.items() for n in names]
-    counts = inv.table_counts({(s, n): t.table(spark, d, n) for s, n in listed if s != "public"})
+    counts = inv.table_counts({(s, n): t.table(spark, d, n) for s, n in listed})
     return spark.createDataFrame(listed, "schema_name string, table_name string"), counts
 
 
@@ -908,7 +909,7 @@ def unknown_key_flag(spark, d):
 @query
 def currency_normalize(spark, d):
     return sl.currency_normalize(t.sales(spark, d), t.rates(spark, d)).select(
-        F.col(ROW).alias("row_idx"), "currency", "revenue", "revenue_usd"
+        F.col(ROW).alias("row_idx"), "currency", "revenue", "revenue_usd", "currency_action"
     )
 
 

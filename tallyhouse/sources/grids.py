@@ -46,20 +46,36 @@ def detect_header(grid: DataFrame, max_scan: int = HEADER_SCAN_ROWS) -> DataFram
 
 
 def _headers(grid: DataFrame, max_scan: int = HEADER_SCAN_ROWS) -> DataFrame:
+    """Header row and cells per sheet. A sheet that starts below the rows looked at has
+    its first row, a blank one, for a header."""
     best = grid.filter(F.col(ROW) < max_scan).groupBy(*SHEET_KEY)
-    return best.agg(
+    best = best.agg(
         F.max_by(F.struct(ROW, CELLS), F.struct(filled(F.col(CELLS)), -F.col(ROW))).alias("h")
-    ).select(*SHEET_KEY, F.col(f"h.{ROW}").alias("header_row"), F.col(f"h.{CELLS}").alias("header"))
+    )
+    sheets = grid.groupBy(*SHEET_KEY).agg(F.max(F.size(CELLS)).alias("width"))
+    blank = F.array_repeat(F.lit(None).cast("string"), F.col("width"))
+    return sheets.join(best, SHEET_KEY, "left").select(
+        *SHEET_KEY,
+        F.coalesce(F.col(f"h.{ROW}"), F.lit(0)).alias("header_row"),
+        F.coalesce(F.col(f"h.{CELLS}"), blank).alias("header"),
+    )
 
 
 def header_names(header: Column) -> Column:
-    """Trimmed header texts; an empty header cell is named after its position."""
-    return F.transform(
+    """Trimmed header texts; an empty header cell is named after its position, and a
+    repeated text gets its position behind it."""
+    names = F.transform(
         header,
         lambda c, i: F.when(c.isNull(), F.concat(F.lit("_col"), i.cast("string"))).otherwise(
             strip(c)
         ),
     )
+    return F.transform(
+        names,
+        lambda c, i: F.when(
+            F.array_position(names, c) <= i, F.concat(c, F.lit("_col"), i.cast("string"))
+        ).otherwise(c),
+    )
 
 
 def grid_to_table(

@@ -14,5 +14,5 @@ def scan_curated(
     picked = {name: tables[name].select(*cols) for name, cols in columns.items()}
     empty = [name for name, df in picked.items() if df.isEmpty()]
     if empty:
-        raise RuntimeError(f"Curated tables are empty for: {empty}")
+        raise RuntimeError(f"no rows in curated {', '.join(empty)}")
     return picked

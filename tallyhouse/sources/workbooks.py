@@ -49,7 +49,7 @@ def pick_sheets(grid: DataFrame, sheets: list[str]) -> DataFrame:
         FILE, F.explode(F.array_except(F.array(*map(F.lit, sheets)), F.col("have"))).alias("sheet")
     ).first()
     if lacking:
-        raise KeyError(f"Sheet '{lacking['sheet']}' not found in '{lacking[FILE]}'")
+        raise KeyError(f"{lacking[FILE]} has no sheet {lacking['sheet']}")
     return grid.filter(F.col(SHEET).isin(sheets))
 
 

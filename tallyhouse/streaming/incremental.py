@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -59,9 +60,12 @@ def stream_incremental_ingest(
         F.col("_metadata.row_index").alias(ROW),
     )
 
+    # batch numbers restart with each checkpoint, so a checkpoint's errors have a folder of their own
+    run = f"{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
+
     def load(batch: DataFrame, batch_id: int) -> None:
         tagged = materialize(batch.sparkSession, gate_feed(batch, spec), f"gate-{spec.name}")
-        errors = f"{out}/error/dq_rejected_rows/batch={batch_id}"
+        errors = f"{out}/error/dq_rejected_rows/run={run}/batch={batch_id}"
         error_rows(rejected_rows(tagged), batch_id).write.mode("overwrite").parquet(errors)
         sink_curated_insert_ignore(
             curate(clean_rows(tagged), spec),

@@ -14,6 +14,7 @@ from tallyhouse.operators.layers import (
     insert_ignore_rows, sink_csv, sink_curated_overwrite, sink_forecast_replace,
 )
 from tallyhouse.plans import context
+from tallyhouse.sources import grids
 from tallyhouse.specs import FILE, ROW, SALES, SHEET
 
 GRID = f"{FILE} string, {SHEET} string, {ROW} long"
@@ -382,3 +383,28 @@ def test_empty_growth_says_so(spark):
     got = {(r["section"], r["line_no"]): r["text"] for r in out.collect()}
     assert got[(5, 1)] == "N/A" and got[(6, 2)] == "Total ingestion batches: 0"
     assert got[(1, 1)] == "Date range : 2024-01-05 to 2024-01-05"
+
+
+def test_sheet_that_starts_below_the_scan_keeps_its_rows(spark):
+    rows = [("f", "late", 20 + i, ["a", str(i)]) for i in range(3)]
+    rows += [("f", "twice", 0, ["id", "note", "note"]), ("f", "twice", 1, ["1", "x", "y"])]
+    grid = spark.createDataFrame(rows, f"{FILE} string, {SHEET} string, {ROW} long, cells array<string>")
+    assert grids.drop_ghost_sheets(grid).count() == 5
+    late = grids.grid_to_table(grid.filter(F.col(SHEET) == "late"))
+    assert sorted(r["_col1"] for r in late.collect()) == ["0", "1", "2"]
+    twice = grids.grid_to_table(grid.filter(F.col(SHEET) == "twice")).first()
+    assert (twice["id"], twice["note"], twice["note_col2"]) == ("1", "x", "y")
+
+
+def test_rows_without_a_file_are_not_copies(spark):
+    rows = [(None, None, 0, "a", "1"), (None, None, 1, "b", "2"), (None, None, 2, "b", "2")]
+    df = spark.createDataFrame(rows, f"{FILE} string, {SHEET} string, {ROW} long, k string, v string")
+    assert [r[ROW] for r in dq.dq_duplicate_rows(df).collect()] == [2]
+    assert dq.dq_pk_duplicates(df, ["k"]).count() == 0
+
+
+def test_currency_without_a_rate_is_flagged(spark):
+    df = spark.createDataFrame([("JPY", 1000.0), ("USD", 2.0), ("EUR", 1.0), (None, 1.0)], "currency string, revenue double")
+    rates = spark.createDataFrame([("EUR", 1.5)], "currency string, rate double")
+    got = {r.currency: (r.revenue_usd and float(r.revenue_usd), r.currency_action) for r in sl.currency_normalize(df, rates).collect()}
+    assert got == {"JPY": (None, "FLAGGED"), "USD": (2.0, None), "EUR": (1.5, None), None: (None, "FLAGGED")}

@@ -5,8 +5,8 @@ from compare import difference
 from conftest import SF
 
 import __spark_entry__ as entry
-
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from tallyhouse.oracles import ORACLES
+from tallyhouse.plans.catalogue import QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -17,6 +17,7 @@ def test_query_matches_sql(spark, duck, name):
 def test_every_query_but_the_fit_has_sql():
     assert set(QUERIES) - set(ORACLES) == {"fit_forecast"}
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry_has_rows(spark):
