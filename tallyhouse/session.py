@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: Temporary folders of local sessions without that setting, by application.
+_local_bases: dict[str, str] = {}
 
 
 def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -43,8 +45,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tallyhouse-")
-        spark.conf.set(CHECKPOINT_DIR, base)
+        # a setting of the core: a running session cannot set it
+        base = _local_bases.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="tallyhouse-")
+        _local_bases[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/tallyhouse/{name}-{uuid.uuid4().hex}"
 
 
