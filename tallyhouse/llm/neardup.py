@@ -13,12 +13,15 @@ run). Its sketch holds the ``K`` least hash values of the set, all of them if fe
    then the exact Jaccard of the whole sets decides.
 4. In a list nodes first meet its hub only: the node with the most common values, from
    which copies derive as a rule. That makes a list linear. Nodes then linked are one
-   component. Only pairs of one list from different components are still open; while
-   these are many, lists get a further hub, drawn by hash. In the end all of them are
-   tried but those that cannot be: runs of words that one open node alone has bound the
-   similarity of its pairs from above. Copies of one text with edits of their own, too
-   many to be linked, are told apart by that bound, so a large group of them does not
-   pair with itself; and no link is lost.
+   component, and only pairs of one list from different components are still open.
+   Runs of words that one open node alone has bound the similarity of its pairs from
+   above. Lists up to ``SHORT`` nodes try what that leaves; in longer ones a node stands
+   for what it differs in from the runs that most nodes with its hub have. With similar
+   sets the differences of a pair must overlap by a number that follows from their sizes;
+   they are joined by prefixes of the differences, own runs first, and by position. Pairs
+   that need no overlap are linked by way of the node with the least difference for its
+   size. Copies of one text with edits of their own, too many to be linked, differ in runs
+   of their own, so a large group of them does not pair with itself; and no link is lost.
 
 Null or empty texts, or texts of blanks, have an empty set and are linked with nothing.
 Repeated rows are one node. A null id takes part; a component is named by its smallest
@@ -44,8 +47,8 @@ K = 48
 NEED = 28
 #: A bitmap of the sketch, a bit per value.
 BITS = ["b0", "b1", "b2", "b3"]
-#: Open pairs a list position may cost before lists get further hubs, and how often they may.
-OPEN, HUB_ROUNDS = 4, 2
+#: Open nodes of a list that are paired directly.
+SHORT = 32
 
 
 def shingle_sets(column, width: int) -> Iterator[np.ndarray]:
@@ -149,6 +152,87 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), i)), pa.array(runs)], names=["id", "run"])
 
 
+def _differences(percent: int):
+    """Of every (hub, node): the first runs of its difference, as far as another node's must
+    begin. A row without a run tells of the difference as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, valid, rows, places, sizes, early = [], [], [], [], [], []
+            for i, (most_have, own, lone) in enumerate(zip(*(batch.column(c) for c in ("most_have", "whole", "lone")), strict=True)):
+                r, x = np.sort(most_have.values.to_numpy()), np.frombuffer(own.as_buffer(), np.int64)
+                more, less = np.setdiff1d(x, r, assume_unique=True), np.setdiff1d(r, x, assume_unique=True)
+                shared = np.setdiff1d(more, lone.values.to_numpy())
+                alone = len(more) - len(shared)  # these stand first and meet nothing
+                most = (100 - percent) * len(x) // percent  # by how many runs a similar set may differ
+                ordered = np.concatenate((shared, less))[: max(0, most + 1 - alone)]
+                runs += [np.zeros(1, np.int64), ordered]
+                valid += [np.zeros(1, bool), np.ones(len(ordered), bool)]
+                rows.append(np.full(len(ordered) + 1, i))
+                places.append(alone - 1 + np.arange(len(ordered) + 1))
+                sizes.append(np.full(len(ordered) + 1, len(more) + len(less)))
+                early.append(places[-1] <= most // 2)
+            if rows:
+                kept = batch.select(["hub", "node", "component"]).take(pa.array(np.concatenate(rows)))
+                run = pa.array(np.concatenate(runs), mask=~np.concatenate(valid))
+                new = [run, *(pa.array(np.concatenate(c)) for c in (places, sizes, early))]
+                yield pa.RecordBatch.from_arrays([*kept.columns, *new], names=["hub", "node", "component", "run", "place", "differs", "early"])
+
+    return run
+
+
+def _open_pairs(spark: SparkSession, open_: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: pairs of one list and of different components that may still be similar.
+
+    ``open_``: value, node, component; ``sets``: the whole sets of its nodes."""
+    # runs of words that one open node alone has can be common to no pair
+    runs = sets.mapInArrow(_elements, "id long, run long").groupBy("run").agg(F.count("*").alias("c"), F.min("id").alias("of"))
+    lone = materialize(spark, runs.where("c = 1").groupBy("of").agg(F.collect_list("run").alias("runs")), "lone")
+    counts = lone.select("of", F.size("runs").alias("lone"))
+    places = open_.join(counts, F.col("node.id") == F.col("of"), "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
+    places = places.where(100 * (F.col("node.n") - F.col("lone")) >= percent * F.col("node.n")).select("value", "node", "component", "lone")
+    each = places.groupBy("value", "component").agg(F.count("*").alias("c"))
+    length = each.groupBy("value").agg(F.sum("c").alias("length"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+    places = materialize(spark, places.join(length, "value"), "places")
+
+    few = places.where(F.col("length") <= SHORT)
+    x, y = (few.select("value", F.col("node").alias(v), F.col("component").alias(f"c_{v}"), F.col("lone").alias(f"u_{v}")) for v in "xy")
+    within = F.least(F.col("x.n") - F.col("u_x"), F.col("y.n") - F.col("u_y"))
+    around = F.greatest(F.col("x.n") + F.col("u_y"), F.col("y.n") + F.col("u_x"))
+    fits = (F.col("c_x") < F.col("c_y")) & (100 * within >= percent * around) & _possible(F.col("x"), F.col("y"), percent)
+    direct = x.join(y, (x["value"] == y["value"]) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+    hub = hubs.select("value", F.col("hub.id").alias("hub"))
+    long = places.where(F.col("length") > SHORT).join(hub, "value").select("hub", "node", "component").distinct()
+    held = sets.join(lone, F.col("id") == F.col("of"), "left").select(F.col("id").alias("own"), "whole", F.coalesce("runs", F.array().cast("array<long>")).alias("lone"))
+    long = materialize(spark, long.join(held, F.col("node.id") == F.col("own")).drop("own"), "long")
+    # at most twice as many runs as a set has are those that more than half of the nodes have
+    had = long.select("hub", "whole").mapInArrow(_elements, "id long, run long").groupBy("id", "run").agg(F.count("*").alias("c"))
+    half = long.groupBy("hub").agg((F.count("*") / 2).alias("half"))
+    had = had.join(half, (F.col("id") == F.col("hub")) & (F.col("c") > F.col("half"))).groupBy("hub").agg(F.collect_list("run").alias("most_have"))
+    long = long.join(had, "hub", "left").withColumn("most_have", F.coalesce("most_have", F.array().cast("array<long>")))
+    kind = long.schema["node"].dataType.simpleString()
+    differ = long.mapInArrow(_differences(percent), f"hub long, node {kind}, component long, run long, place long, differs long, early boolean")
+    differ = materialize(spark, differ, "differences")
+
+    # no overlap is needed where the differences are together below what the sizes allow
+    over = (100 + percent) * F.col("differs") - (100 - percent) * F.col("node.n")
+    alone = differ.where("run IS NULL").select("hub", F.struct(over.alias("over"), F.col("node.id").alias("id")).alias("s"))
+    star = alone.join(alone.groupBy("hub").agg(F.min("s").alias("least")), "hub").where("s.over + least.over <= 0 AND s.id <> least.id")
+    star = star.select(F.col("s.id").alias("a"), F.col("least.id").alias("b"))
+    differ = differ.where("run IS NOT NULL")
+    x = differ.where("early").select("hub", "run", F.col("node").alias("x"), *(F.col(c).alias(f"{c}_x") for c in ("component", "place", "differs")))
+    y = differ.select("hub", "run", F.col("node").alias("y"), *(F.col(c).alias(f"{c}_y") for c in ("component", "place", "differs")))
+    in_order = F.struct("differs_x", "x.id") < F.struct("differs_y", "y.id")
+    # the first common run leaves no more to overlap than stands behind it
+    rest = F.least(F.col("differs_x") - F.col("place_x"), F.col("differs_y") - F.col("place_y"))
+    apart = F.col("differs_x") + F.col("differs_y") - 2 * rest
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("x.n") + F.col("y.n"))
+    fits = in_order & (F.col("component_x") != F.col("component_y")) & near & _possible(F.col("x"), F.col("y"), percent)
+    met = x.join(y, (x["hub"] == y["hub"]) & (x["run"] == y["run"]) & fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    return direct.unionByName(star).unionByName(met)
+
+
 def _need(size: Column, percent: int) -> Column:
     """The values a node must share, of ``size`` in its sketch."""
     return F.least(F.lit(NEED), F.ceil(size * percent / F.lit(100.0)).cast("int"))
@@ -185,36 +269,17 @@ def near_duplicates(
 
     link = _Links(nodes, texts, width, percent)
     hubs = lists.groupBy("value").agg(F.max(F.struct("rank", "node"))["node"].alias("hub"))
-    found = [link(spark, _spokes(lists, hubs, percent))]
-    for k in range(1, HUB_ROUNDS + 1):
-        group = components(spark, found[0] if len(found) == 1 else reduce(DataFrame.unionByName, found))
-        placed = lists.join(group.withColumnRenamed("node", "of"), F.col("node.id") == F.col("of"), "left")
-        placed = placed.select("value", "node", F.coalesce("component", "node.id").alias("component"))
-        placed = materialize(spark, placed, "lists")
-        each = placed.groupBy("value", "component").agg(F.count("*").alias("c"))
-        mixed = each.groupBy("value").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"), F.count("*").alias("groups")).where("groups > 1")
-        cost = mixed.agg(F.sum((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("pairs"), F.sum("c").alias("places")).first()
-        if not cost.pairs:
-            break
-        open_ = placed.join(mixed.select("value"), "value")
-        if cost.pairs <= OPEN * cost.places or k == HUB_ROUNDS:
-            # runs of words that one open node alone has can be common to no pair
-            sets = link.sets(spark, open_.select("node.id").distinct())
-            runs = sets.mapInArrow(_elements, "id long, run long").groupBy("run").agg(F.count("*").alias("c"), F.min("id").alias("of"))
-            lone = runs.where("c = 1").groupBy("of").agg(F.count("*").alias("lone"))
-            open_ = open_.join(lone, F.col("node.id") == F.col("of"), "left").withColumn("lone", F.coalesce("lone", F.lit(0)))
-            left = open_.select("value", F.col("node").alias("x"), F.col("component").alias("c_x"), F.col("lone").alias("u_x"))
-            right = open_.select("value", F.col("node").alias("y"), F.col("component").alias("c_y"), F.col("lone").alias("u_y"))
-            within = F.least(F.col("x.n") - F.col("u_x"), F.col("y.n") - F.col("u_y"))
-            around = F.greatest(F.col("x.n") + F.col("u_y"), F.col("y.n") + F.col("u_x"))
-            fits = (F.col("c_x") < F.col("c_y")) & (100 * within >= percent * around) & _possible(F.col("x"), F.col("y"), percent)
-            pairs = left.join(right, (left["value"] == right["value"]) & fits)
-            found.append(link(spark, pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")), sets))
-            group = components(spark, reduce(DataFrame.unionByName, found))
-            break
-        drawn = F.min(F.struct(F.xxhash64("node.id", "value", F.lit(k)), "node"))["node"]
-        hubs = open_.groupBy("value").agg(drawn.alias("hub"))
-        found.append(link(spark, _spokes(open_, hubs, percent)))
+    near = link(spark, _spokes(lists, hubs, percent))
+    group = components(spark, near)
+    placed = lists.join(group.withColumnRenamed("node", "of"), F.col("node.id") == F.col("of"), "left")
+    placed = materialize(spark, placed.select("value", "node", F.coalesce("component", "node.id").alias("component")), "lists")
+    each = placed.groupBy("value", "component").agg(F.count("*").alias("c"))
+    mixed = each.groupBy("value").agg(F.sum("c").alias("c"), F.count("*").alias("groups")).where("groups > 1 AND c > 2")
+    open_ = materialize(spark, placed.join(mixed.select("value"), "value"), "open")
+    if not open_.isEmpty():
+        sets = link.sets(spark, open_.select("node.id").distinct())
+        near = near.unionByName(link(spark, _open_pairs(spark, open_, hubs, sets, percent), sets))
+        group = components(spark, near)
 
     named = nodes.select("id", "name", "doc").join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))

@@ -91,6 +91,28 @@ def test_family_of_copies(spark):
     assert sorted(got) == sorted(near_components(rows, 3, 85))
 
 
+@pytest.mark.parametrize(("short", "percent"), [(32, 85), (3, 85), (3, 80)])
+def test_edited_copies_about_the_threshold(spark, monkeypatch, short, percent):
+    """Long lists: changes, gaps and insertions, some shared by several copies, links by chance only."""
+    monkeypatch.setattr(neardup, "SHORT", short)
+    rng = random.Random(short + percent)
+    rows = []
+    for g in range(2):
+        source = [f"g{g}w{i}" for i in range(150)]
+        for i in range(110):
+            copy = source.copy()
+            for _ in range(rng.choice([1, 3, 4, 5, 6])):
+                k = rng.randrange(len(copy))
+                own = f"e{i}x{k}" if rng.random() < 0.5 else f"f{rng.randrange(4)}"
+                copy[k : k + rng.choice([0, 1, 1, 2])] = [own] * rng.choice([0, 1, 1])
+            rows.append((1000 * g + i, " ".join(copy + [f"t{i}n{k}" for k in range(rng.choice([0, 0, 8]))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark, df, 3, percent).collect()]
+    want = near_components(rows, 3, percent)
+    assert 4 < len({w[2] for w in want}) < len(rows)
+    assert sorted(got) == sorted(want)
+
+
 def test_packing(spark, odd, empty):
     tokenizer = Tokenizer.from_file(WORD_TOKENIZER)
     once = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
