@@ -278,8 +278,8 @@ def near_duplicates(
     open_ = materialize(spark, placed.join(mixed.select("value"), "value"), "open")
     if not open_.isEmpty():
         sets = link.sets(spark, open_.select("node.id").distinct())
-        near = near.unionByName(link(spark, _open_pairs(spark, open_, hubs, sets, percent), sets))
-        group = components(spark, near)
+        near = link(spark, _open_pairs(spark, open_, hubs, sets, percent), sets)
+        group = components(spark, group.toDF("a", "b").unionByName(near))
 
     named = nodes.select("id", "name", "doc").join(group.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
