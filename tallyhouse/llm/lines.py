@@ -205,9 +205,9 @@ def without_repeats(
 ) -> DataFrame:
     """The rows of ``docs`` without lines that repeat an earlier one.
 
-    A document that would lose more than ``most`` of the bytes of its lines is a copy as
-    a whole and stays as it is, for document dedup to judge. A column ``n_chars`` follows
-    the text.
+    A document that would lose more than ``most`` of its bytes stays as it is, for document
+    dedup to judge first; what that leaves is cut by a second call with ``most`` 1, which
+    exempts none. A column ``n_chars`` follows the text.
     """
     found = line_classes(spark, docs, edits, shortest, id_col, text_col)
     key = ["doc_id", "text_hash"]
