@@ -35,7 +35,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Rows that
     repeat it whole stay with it once; rows without an id stay if no other of the group has one.
-    Whatever lines then still repeat an earlier one are cut, however much a document loses."""
+    Whatever lines then still repeat an earlier one are cut, however much a document loses,
+    short lines that equal an earlier one too."""
     found = neardup.near_duplicates(spark, docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
     kept = kept.toDF("kept_id", "kept_hash")
@@ -45,7 +46,7 @@ def copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same = own.eqNullSafe(F.col("kept_id")) & F.xxhash64(text).eqNullSafe(F.col("kept_hash"))
     once = rows.join(kept, same).dropDuplicates(["kept_id", "kept_hash"])
     left = materialize(spark, once.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names))), "copies-gone")
-    return lines.without_repeats(spark, left, most=1.0)
+    return lines.without_repeats(spark, left, most=1.0, all_lines=True)
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Two lines are linked when their edit distance, in bytes of UTF-8, is at most ``EDITS``.
 Lines are what stands between line ends, without blanks at their ends; those below
-``SHORTEST`` bytes are no subject of dedup, as a few edits would turn one into another.
+``SHORTEST`` bytes are linked with none, as a few edits would turn one into another; with
+``all_lines`` those that are not empty take part by equality.
 
 1. Equal lines are one from here on.
 2. A line is split into ``EDITS`` + 1 segments. If another line of this or a greater
@@ -163,25 +164,26 @@ def _verified(edits: int):
 
 
 def line_classes(
-    spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text"
+    spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text", all_lines: bool = False
 ) -> DataFrame:
-    """Per line of at least ``shortest`` bytes: doc_id, text_hash, line_no, n_bytes, n_links
+    """Per line of at least ``shortest`` bytes (``all_lines``: of one byte): doc_id, text_hash, line_no, n_bytes, n_links
     (other different lines within ``edits``), the doc_id and line_no of its class's first
-    line, and whether it is that one (kept)."""
+    line, and whether it is that one (kept). Shorter lines are classed by equality alone."""
     if shortest <= edits:
         raise ValueError("a line must be longer than the edits it may differ by")
-    rows = lines_of(docs, shortest, id_col, text_col).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
+    rows = lines_of(docs, 1 if all_lines else shortest, id_col, text_col).withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
     place = ["doc_id", "text_hash", "line_no"]
     first = F.min(F.struct(*place)).alias("first")
     distinct = rows.groupBy("h1", "h2").agg(first, F.first("line").alias("line"))
     distinct = materialize(spark, distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
 
-    keys = distinct.select("id", "line").mapInArrow(_keys(edits), "key long, probe boolean, id long")
+    text = distinct.where(F.octet_length("line") >= shortest).select("id", "line")
+    keys = text.mapInArrow(_keys(edits), "key long, probe boolean, id long")
     entries = keys.where("NOT probe").select("key", F.col("id").alias("a"))
     asked = keys.where("probe").select("key", F.col("id").alias("b"))
     pairs = entries.join(asked, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(spark, pairs, "line-pairs")
-    text = distinct.select("id", F.encode("line", "UTF-8").alias("line"))
+    text = text.select("id", F.encode("line", "UTF-8").alias("line"))
     met = pairs.join(text.toDF("a", "line_a"), "a").join(text.toDF("b", "line_b"), "b").select("a", "b", "line_a", "line_b")
     links = materialize(spark, met.mapInArrow(_verified(edits), "a long, b long"), "line-links")
 
@@ -201,15 +203,17 @@ def line_classes(
 
 
 def without_repeats(
-    spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, most: float = 0.5, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+    spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, most: float = 0.5,
+    id_col: str = "doc_id", text_col: str = "text", all_lines: bool = False,
+) -> DataFrame:
     """The rows of ``docs`` without lines that repeat an earlier one.
 
     A document that would lose more than ``most`` of its bytes stays as it is, for document
     dedup to judge first; what that leaves is cut by a second call with ``most`` 1, which
-    exempts none. A column ``n_chars`` follows the text.
+    exempts none. With ``all_lines`` lines below ``shortest`` that equal an earlier one go
+    too. A column ``n_chars`` follows the text.
     """
-    found = line_classes(spark, docs, edits, shortest, id_col, text_col)
+    found = line_classes(spark, docs, edits, shortest, id_col, text_col, all_lines)
     key = ["doc_id", "text_hash"]
     per_row = found.where("NOT kept").select(*key, "line_no", "n_bytes").distinct().groupBy(*key)
     lost = per_row.agg(F.collect_set("line_no").alias("lost"), F.sum("n_bytes").alias("lost_bytes"))

@@ -37,3 +37,16 @@ def test_documents_of_repeats_lose_them(spark):
     assert after == {1: whole, 3: f, 4: f"{g}\n{h}", 5: ""}
     found = line_classes(list(after.items()), lines.EDITS, lines.SHORTEST)
     assert all(n == 0 and head == at for at, (n, head) in found.items())
+
+
+def test_short_lines_are_deduped_by_equality(spark):
+    a, b, c = (_line(x) for x in "abc")
+    texts = {1: f"{a}\nYes.\n\n 短い行。\nYes", 2: f"{b}\nYes. \n\n短い行。", 3: f"Yes.\n{c}\nNo."}
+    assert _after(spark, texts) == {1: texts[1], 2: f"{b}\n", 3: f"{c}\nNo."}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {(r.doc_id, r.line_no): (r.n_links, r.class_doc_id, r.class_line_no) for r in lines.line_classes(spark, rows, all_lines=True).collect()}
+    assert found == {
+        (1, 0): (0, 1, 0), (1, 1): (0, 1, 1), (1, 3): (0, 1, 3), (1, 4): (0, 1, 4),
+        (2, 0): (0, 2, 0), (2, 1): (0, 1, 1), (2, 3): (0, 1, 3),
+        (3, 0): (0, 1, 1), (3, 1): (0, 3, 1), (3, 2): (0, 3, 2),
+    }
