@@ -10,7 +10,9 @@ sample of ``SAMPLE`` rows expected per language, chosen by a hash of the id.
 
 A text is rejected when its distance from the nearest centroid is beyond what training
 texts of like length have: its cosine is below 0.4 of what all but a thousandth of them
-reach. Lengths with few training texts take half the floor of the next longer ones. A null text or one without a letter is ``und``, has score 0 and is rejected.
+reach. All training rows count for that. Lengths with few of them take half the floor of
+the next longer ones, the longest count with the next shorter ones; a language with few
+texts of any length takes half of what they reach together. A null text or one without a letter is ``und``, has score 0 and is rejected.
 With no training rows all texts are ``und``. Whole texts are read, in blocks. Rows
 with null lang teach nothing; repeated rows are predicted each for itself.
 """
@@ -34,6 +36,8 @@ UNKNOWN = "und"
 BANDS = 10
 #: Training texts that a band needs for a floor of its own.
 ENOUGH = 50
+#: Steps of the cosine in which floors are counted.
+STEPS = 1000
 _CHUNK = 1 << 18
 _letters: list[np.ndarray] = []
 
@@ -114,11 +118,11 @@ def _batched(column, size: int = 256) -> Iterator[tuple[list[int], list[np.ndarr
 def _fit_language(idf: np.ndarray, clusters: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("key", ignore_index=True)
-        parts = [(_vectors(rows, idf), np.array([r.sum() for r in rows])) for _, rows in _batched(frame["text"])]
-        names = {"lang": "object", "cluster": "int32", "centroid": "object", "floors": "object"}
+        parts = [_vectors(rows, idf) for _, rows in _batched(frame["text"])]
+        names = {"lang": "object", "cluster": "int32", "centroid": "object"}
         if not parts:
             return pd.DataFrame({k: pd.Series(dtype=t) for k, t in names.items()})
-        x, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        x = np.concatenate(parts)
         k = min(clusters, len(x))
         # spread starting points: each the row farthest from those before it
         picked = [int(np.argmax(x @ x.mean(axis=0)))]
@@ -131,21 +135,54 @@ def _fit_language(idf: np.ndarray, clusters: int):
             of = np.argmax(x @ centres.T, axis=1)
             centres = np.array([x[of == j].sum(axis=0) if (of == j).any() else centres[j] for j in range(k)])
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-        near, bands = (x @ centres.T).max(axis=1), _band(n)
-        floors, longer = np.zeros(BANDS), 1.0
-        for b in range(BANDS - 1, -1, -1):  # shorter texts never have to be nearer than longer ones
-            own = near[bands == b]
-            if len(own) >= ENOUGH:
-                longer = min(longer, 0.4 * float(np.quantile(own, 0.001)))
-            elif longer < 1:
-                longer *= 0.5
-            floors[b] = longer if longer < 1 else 0.0
         lang = frame["lang"].iloc[0]
-        return pd.DataFrame({"lang": [lang] * k, "cluster": range(k), "centroid": [c.tolist() for c in centres], "floors": [floors.tolist()] * k}).astype({"cluster": "int32"})
+        return pd.DataFrame({"lang": [lang] * k, "cluster": range(k), "centroid": [c.tolist() for c in centres]}).astype({"cluster": "int32"})
 
     return run
 
 
+def _cosines(model: Model):
+    """How often training texts of each language and band reach each step of the cosine."""
+    own = {k: np.array([c == k for c in model.langs]) for k in model.langs}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = {k: np.zeros((BANDS, STEPS + 1), dtype=np.int64) for k in own}
+        for batch in batches:
+            taught = np.array(batch.column(0).to_pylist(), dtype=object)
+            for at, rows in _batched(batch.column(1)):
+                near, bands, langs = _vectors(rows, model.idf) @ model.centroids.T, _band(np.array([r.sum() for r in rows])), taught[at]
+                for k in own.keys() & set(langs):
+                    of = langs == k
+                    steps = (np.clip(near[of][:, own[k]].max(axis=1), 0, 1) * STEPS).astype(int)
+                    np.add.at(met[k], (bands[of], steps), 1)
+        for k, n in met.items():
+            band, step = np.nonzero(n)
+            if len(band):
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(band)), pa.array(band), pa.array(step), pa.array(n[band, step])], names=["lang", "band", "step", "n"])
+
+    return run
+
+
+def floors_of(met: np.ndarray) -> np.ndarray:
+    """The least cosine by band; met: training texts by band and step of the cosine."""
+    reach = lambda n: 0.4 * int(np.searchsorted(np.cumsum(n), 0.001 * n.sum(), side="right")) / STEPS
+    total, floors = met.sum(axis=1), np.zeros(BANDS)
+    own = {b: met[b] for b in np.flatnonzero(total >= ENOUGH).tolist()}
+    if own:
+        top = max(own)
+        found = {b: reach(n) for b, n in (own | {top: met[top:].sum(axis=0)}).items()}
+    elif total.any():
+        top = int(np.flatnonzero(total)[0])
+        found = {top: 0.5 * reach(met.sum(axis=0))}
+    else:
+        return floors
+    longer = found[top]
+    for b in range(BANDS - 1, -1, -1):  # shorter texts never have to be nearer than longer ones
+        longer = min(longer, found[b]) if b in found else longer * 0.5 if b < top else longer
+        floors[b] = longer
+    return floors
+
+
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, sample: int = SAMPLE) -> Model:
     """The model held on the driver: ``clusters`` vectors of ``DIM`` numbers per language."""
     rows = train.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -169,12 +206,18 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     of = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in of.items()), F.lit(0.0))
     chosen = rows.where(F.pmod(F.col("key"), F.lit(1 << 30)) < share * (1 << 30))
-    fitted = chosen.groupBy("lang").applyInPandas(_fit_language(idf, clusters), "lang string, cluster int, centroid array<float>, floors array<double>").collect()
+    fitted = chosen.groupBy("lang").applyInPandas(_fit_language(idf, clusters), "lang string, cluster int, centroid array<float>").collect()
     fitted.sort(key=lambda r: (r.lang, r.cluster))
-    return Model(
-        idf, np.array([r.centroid for r in fitted], dtype=np.float32).reshape(-1, DIM), [r.lang for r in fitted],
-        np.array([r.floors for r in fitted]).reshape(-1, BANDS),
-    )
+    langs = [r.lang for r in fitted]
+    model = Model(idf, np.array([r.centroid for r in fitted], dtype=np.float32).reshape(-1, DIM), langs, np.zeros((len(langs), BANDS)))
+    met = {k: np.zeros((BANDS, STEPS + 1), dtype=np.int64) for k in langs}
+    if langs:
+        reached = rows.select("lang", "text").mapInArrow(_cosines(model), "lang string, band long, step long, n long")
+        for r in reached.groupBy("lang", "band", "step").agg(F.sum("n").alias("n")).collect():  # BANDS * STEPS rows of a language at most
+            met[r.lang][r.band, r.step] = r.n
+    floors = {k: floors_of(n) for k, n in met.items()}
+    model.floors = np.array([floors[k] for k in langs]).reshape(-1, BANDS)
+    return model
 
 
 def _predictor(model: Model):

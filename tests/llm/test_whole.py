@@ -1,9 +1,13 @@
 """Cases that a cut of the work would leave out."""
 
+import random
+
+import numpy as np
 from brute import line_classes
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyhouse.llm import lines
+from tallyhouse.llm import language, lines
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,3 +54,27 @@ def test_short_lines_are_deduped_by_equality(spark):
         (2, 0): (0, 2, 0), (2, 1): (0, 1, 1), (2, 3): (0, 1, 3),
         (3, 0): (0, 1, 1), (3, 1): (0, 3, 1), (3, 2): (0, 3, 2),
     }
+
+
+def test_unlearned_languages_are_rejected_at_any_length(spark):
+    rng = random.Random(2)
+    text = lambda signs, n: " ".join("".join(rng.choices(signs, k=rng.randint(2, 7))) for _ in range(n))
+    known = [(i, text("abdeinorst", 60), "xx") for i in range(70)] + [(100 + i, text("cfghklmpuv", 60), "yy") for i in range(12)]
+    odd = [(200, text("αβγδεηικλο", 60), None), (201, text("αβγδεηικλο", 40_000), None)]
+    fine = [(300, text("abdeinorst", 40_000), None), (301, text("cfghklmpuv", 40_000), None)]
+    table = spark.createDataFrame(known + odd + fine, "doc_id long, text string, lang string")
+    model = language.fit(table)
+    rows = {r.doc_id: r.accepted for r in language.identify(table, model, {"doc_id": F.col("doc_id")}).collect()}
+    assert {i for i, ok in rows.items() if not ok} == {200, 201}
+    assert (model.floors > 0).all()
+
+
+def test_floors_by_band():
+    met = np.zeros((language.BANDS, language.STEPS + 1), dtype=np.int64)
+    assert not language.floors_of(met).any()
+    met[4, 500], met[6, 800], met[8, 700] = 60, 60, 3
+    # thin long bands count with the last full one, thin short ones take half of the next
+    assert np.allclose(language.floors_of(met), [0.14 / 16, 0.14 / 8, 0.14 / 4, 0.14 / 2, 0.14, 0.14, 0.28, 0.28, 0.28, 0.28])
+    met[:] = 0
+    met[5, 600] = 10
+    assert np.allclose(language.floors_of(met), [0.12 / 32, 0.12 / 16, 0.12 / 8, 0.12 / 4, 0.12 / 2, 0.12, 0.12, 0.12, 0.12, 0.12])
