@@ -5,9 +5,10 @@ run). Its sketch holds the ``K`` least hash values of the set, all of them if fe
 
 1. Documents with equal sets are one node from here on.
 2. Inverted lists of sketch values give candidates. Nodes whose similarity reaches the
-   threshold share ``NEED`` of their values but for a chance below one in 100,000 (for
-   sets below ``K``: all they must, without exception). So each node stands only in the
-   lists of its ``size - NEED + 1`` rarest values: one of them must be common.
+   threshold share a number ``need`` of their values but for a chance below one in 100,000
+   (for sets below ``K``: all they must, without exception); it follows from the threshold
+   and is ``NEED`` at most. So each node stands only in the lists of its
+   ``size - need + 1`` rarest values: one of them must be common.
 3. Candidates pass a filter by size and by bitmaps of their sketches, which travel with
    the lists and lose nothing, then by the share of the union's sketch that both have;
    then the exact Jaccard of the whole sets decides.
@@ -33,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +47,8 @@ from tallyhouse.session import materialize
 
 K = 48
 NEED = 28
+#: The chance with which a pair at the threshold may share less than it needs.
+LOSS = 1e-5
 #: A bitmap of the sketch, a bit per value.
 BITS = ["b0", "b1", "b2", "b3"]
 #: Open nodes of a list that are paired directly.
@@ -125,7 +129,7 @@ class _Links:
         m = F.least(F.size("s_a"), F.size("s_b"))
         common = F.array_intersect("s_a", "s_b")
         union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), F.lit(1), m)
-        likely = F.when(m < K, F.size(common) >= _need(m, self.percent)).otherwise(F.size(F.array_intersect(union, common)) >= NEED)
+        likely = F.when(m < K, F.size(common) >= _need(m, self.percent)).otherwise(F.size(F.array_intersect(union, common)) >= need_of(self.percent))
         passed = materialize(spark, both.where(likely).select("a", "b"), "candidates")
 
         if sets is None:
@@ -233,9 +237,20 @@ def _open_pairs(spark: SparkSession, open_: DataFrame, hubs: DataFrame, sets: Da
     return direct.unionByName(star).unionByName(met)
 
 
+def need_of(percent: int) -> int:
+    """The most of ``K`` values, each common with a chance of ``percent`` of 100, that fail
+    to be common with a chance below ``LOSS``; ``NEED`` at most."""
+    p, less = percent / 100, 0.0
+    for n in range(NEED):
+        less += comb(K, n) * p**n * (1 - p) ** (K - n)
+        if less >= LOSS:
+            return max(n, 1)
+    return NEED
+
+
 def _need(size: Column, percent: int) -> Column:
     """The values a node must share, of ``size`` in its sketch."""
-    return F.least(F.lit(NEED), F.ceil(size * percent / F.lit(100.0)).cast("int"))
+    return F.least(F.lit(need_of(percent)), F.ceil(size * percent / F.lit(100.0)).cast("int"))
 
 
 def near_duplicates(

@@ -1,13 +1,15 @@
 """Cases that a cut of the work would leave out."""
 
 import random
+from math import comb
 
 import numpy as np
+import pyarrow as pa
 from brute import line_classes
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyhouse.llm import language, lines
+from tallyhouse.llm import language, lines, neardup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -78,3 +80,22 @@ def test_floors_by_band():
     met[:] = 0
     met[5, 600] = 10
     assert np.allclose(language.floors_of(met), [0.12 / 32, 0.12 / 16, 0.12 / 8, 0.12 / 4, 0.12 / 2, 0.12, 0.12, 0.12, 0.12, 0.12])
+
+
+def test_the_chance_of_loss_holds_at_every_threshold():
+    for percent in range(25, 100):
+        p, need = percent / 100, neardup.need_of(percent)
+        assert 1 <= need <= neardup.NEED
+        assert sum(comb(neardup.K, n) * p**n * (1 - p) ** (neardup.K - n) for n in range(need)) < 1e-5
+    assert (neardup.need_of(80), neardup.need_of(85)) == (25, 28)
+
+
+def test_a_pair_with_few_common_values_is_linked(spark):
+    """Jaccard 0.8, but 26 of the union's 48 least values are common."""
+    words = [f"w{i}" for i in range(600)]
+    words.sort(key=dict(zip(words, (int(s[0]) for s in neardup.shingle_sets(pa.array(words), 1)), strict=True)).get)
+    apart = words[:22] + words[-98:]
+    common = words[22:-98]
+    rows = [(i, " ".join(common + apart[i - 1 :: 2])) for i in (1, 2)]
+    found = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == {(1, 540, 1), (2, 540, 1)}
