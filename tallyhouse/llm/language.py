@@ -6,7 +6,8 @@ normalised. Every language has several centroids, found by spherical k-means ove
 training vectors. A text gets the language of the centroid with the largest cosine.
 
 Document frequencies are counted over all training rows. Centroids are fitted on a
-sample of ``SAMPLE`` rows expected per language, chosen by a hash of the id.
+sample of ``SAMPLE`` rows expected per language, chosen by a hash of id and text; rows
+that repeat both are one with their number.
 
 A text is rejected when its distance from the nearest centroid is beyond what training
 texts of like length have: its cosine is below 0.4 of what all but a thousandth of them
@@ -118,14 +119,14 @@ def _batched(column, size: int = 256) -> Iterator[tuple[list[int], list[np.ndarr
 def _fit_language(idf: np.ndarray, clusters: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("key", ignore_index=True)
-        parts = [_vectors(rows, idf) for _, rows in _batched(frame["text"])]
+        found = [(_vectors(rows, idf), frame["mass"].to_numpy()[at]) for at, rows in _batched(frame["text"])]
         names = {"lang": "object", "cluster": "int32", "centroid": "object"}
-        if not parts:
+        if not found:
             return pd.DataFrame({k: pd.Series(dtype=t) for k, t in names.items()})
-        x = np.concatenate(parts)
+        x, mass = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])[:, None].astype(np.float32)
         k = min(clusters, len(x))
         # spread starting points: each the row farthest from those before it
-        picked = [int(np.argmax(x @ x.mean(axis=0)))]
+        picked = [int(np.argmax(x @ ((x * mass).sum(axis=0) / mass.sum())))]
         near = x @ x[picked[0]]
         for _ in range(k - 1):
             picked.append(int(np.argmin(near)))
@@ -133,7 +134,7 @@ def _fit_language(idf: np.ndarray, clusters: int):
         centres = x[picked]
         for _ in range(12):
             of = np.argmax(x @ centres.T, axis=1)
-            centres = np.array([x[of == j].sum(axis=0) if (of == j).any() else centres[j] for j in range(k)])
+            centres = np.array([(x * mass)[of == j].sum(axis=0) if (of == j).any() else centres[j] for j in range(k)])
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         lang = frame["lang"].iloc[0]
         return pd.DataFrame({"lang": [lang] * k, "cluster": range(k), "centroid": [c.tolist() for c in centres]}).astype({"cluster": "int32"})
@@ -183,6 +184,16 @@ def floors_of(met: np.ndarray) -> np.ndarray:
     return floors
 
 
+def chosen_rows(rows: DataFrame, sample: int) -> DataFrame:
+    """About ``sample`` different rows (key, text) of every language and how many each stands for."""
+    of = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in of.items()), F.lit(0.0))
+    expected = F.col("n") * share
+    picked = rows.groupBy("lang", "key").agg(F.count("*").alias("n")).where(F.pmod(F.col("key"), F.lit(1 << 30)) < F.least(expected, F.lit(1.0)) * (1 << 30))
+    picked = F.broadcast(picked.select("lang", "key", F.greatest(expected, F.lit(1.0)).alias("mass")))  # about `sample` pairs of numbers per language
+    return rows.join(picked, ["lang", "key"]).dropDuplicates(["lang", "key"])
+
+
 def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", clusters: int = CLUSTERS, sample: int = SAMPLE) -> Model:
     """The model held on the driver: ``clusters`` vectors of ``DIM`` numbers per language."""
     rows = train.select(F.xxhash64(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -202,10 +213,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     found = {r.place: r.n for r in df}
     idf = np.array([np.log((1 + found.get(-1, 0)) / (1 + found.get(i, 0))) + 1 for i in range(DIM)], dtype=np.float32)
 
-    # about `sample` rows of every language, by hash
-    of = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, sample / n))) for k, n in of.items()), F.lit(0.0))
-    chosen = rows.where(F.pmod(F.col("key"), F.lit(1 << 30)) < share * (1 << 30))
+    chosen = chosen_rows(rows, sample)
     fitted = chosen.groupBy("lang").applyInPandas(_fit_language(idf, clusters), "lang string, cluster int, centroid array<float>").collect()
     fitted.sort(key=lambda r: (r.lang, r.cluster))
     langs = [r.lang for r in fitted]

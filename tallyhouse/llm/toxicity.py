@@ -191,21 +191,24 @@ def fit_labels(votes: np.ndarray, seen: np.ndarray, labelled: np.ndarray, rounds
     return model
 
 
-def fit_classifier(rows: list[np.ndarray], target: np.ndarray, size: int, rounds: int = 400, ridge: float = 0.3) -> np.ndarray:
+def fit_classifier(
+    rows: list[np.ndarray], target: np.ndarray, size: int, rounds: int = 400, ridge: float = 0.3, mass: np.ndarray | None = None
+) -> np.ndarray:
     """Weights of the marks and, last, the constant: logistic regression on soft labels
-    by accelerated gradient steps."""
+    by accelerated gradient steps. ``mass``: how many texts each row stands for, else one."""
+    mass = np.ones(len(rows)) if mass is None else mass
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = np.concatenate([*rows, np.zeros(0, int)]).astype(int)
     # features in many texts take shorter steps
-    step = 1 / (0.25 * np.bincount(column, minlength=size) * max((len(r) for r in rows), default=1) + ridge)
+    step = 1 / (0.25 * np.bincount(column, weights=mass[row], minlength=size) * max((len(r) for r in rows), default=1) + ridge)
     w = np.zeros(size + 1)
     seen, last = w.copy(), w.copy()
     for k in range(rounds if len(rows) else 0):
         p = 1 / (1 + np.exp(-(np.bincount(row, weights=seen[column], minlength=len(rows)) + seen[-1])))
-        error = p - target
+        error = (p - target) * mass
         w = seen.copy()
         w[:-1] -= step * (np.bincount(column, weights=error[row], minlength=size) + ridge * seen[:-1])
-        w[-1] -= 2.0 * error.mean()
+        w[-1] -= 2.0 * error.sum() / mass.sum()
         seen = w + k / (k + 3) * (w - last)
         last = w
     return w
@@ -245,10 +248,15 @@ def score(
     open_rows = marked.where("NOT held_out AND doc_id IS NOT NULL")
     total = open_rows.count()
     share = min(1.0, sample / max(1, total))
-    chosen = open_rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
-    train = sorted((tuple(r.marks), r.votes) for r in chosen.select("marks", "votes").collect())  # about `sample` rows
-    target = model.posterior(np.array([v for _, v in train], dtype=np.int64))
-    weights = fit_classifier([np.array(m, dtype=int) for m, _ in train], target, len(marks.place))
+    # equal rows are one with their number; one that the share would take once or more is always taken
+    keyed = open_rows.select("marks", "votes", F.xxhash64("marks", "votes").alias("key"))
+    expected = F.count("*") * share
+    picked = keyed.groupBy("key").agg(F.greatest(expected, F.lit(1.0)).alias("mass"), F.least(expected, F.lit(1.0)).alias("chance"))
+    picked = F.broadcast(picked.where(F.pmod("key", F.lit(1 << 30)) < F.col("chance") * (1 << 30)).drop("chance"))  # about `sample` pairs of numbers
+    chosen = keyed.join(picked, "key").groupBy("marks", "votes").agg(F.max("mass").alias("mass"))
+    train = sorted((tuple(r.marks), r.votes, r.mass) for r in chosen.collect())  # about `sample` rows
+    target = model.posterior(np.array([v for _, v, _ in train], dtype=np.int64))
+    weights = fit_classifier([np.array(m, dtype=int) for m, _, _ in train], target, len(marks.place), mass=np.array([n for _, _, n in train]))
 
     def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

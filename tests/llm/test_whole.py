@@ -9,7 +9,7 @@ from brute import line_classes
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyhouse.llm import language, lines, neardup
+from tallyhouse.llm import language, lines, neardup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -99,3 +99,28 @@ def test_a_pair_with_few_common_values_is_linked(spark):
     rows = [(i, " ".join(common + apart[i - 1 :: 2])) for i in (1, 2)]
     found = neardup.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == {(1, 540, 1), (2, 540, 1)}
+
+
+def test_repeated_rows_are_one_of_the_sample_with_their_number(spark, monkeypatch):
+    rows = [(i, f"word{i} other{i % 7}", "xx") for i in range(600)] + [(7000 + k, "one text", "xx") for k in range(3) for _ in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    keyed = table.withColumn("key", F.xxhash64("doc_id", "text"))
+    found = language.chosen_rows(keyed, 60).collect()
+    assert sorted((r.doc_id, r.mass) for r in found if r.doc_id >= 7000) == [(7000, 10.0), (7001, 10.0), (7002, 10.0)]
+    assert 10 <= len(found) <= 60 and all(r.mass == 1 for r in found if r.doc_id < 7000)
+
+    seen = []
+    fit = toxicity.fit_classifier
+    monkeypatch.setattr(toxicity, "fit_classifier", lambda rows, target, size, mass=None: seen.append((rows, mass)) or fit(rows, target, size, mass=mass))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 600, 3)], "doc_id long, toxic int")
+    assert toxicity.score(spark, table, labels, F.lit(False), sample=60).count() == len(rows)
+    taken, mass = seen[0]
+    assert len(taken) == len({tuple(r) for r in taken}) <= 60 and mass.max() >= 30
+
+
+def test_mass_is_repetition():
+    rng = np.random.default_rng(3)
+    rows, target, mass = [rng.choice(9, 3, replace=False) for _ in range(20)], rng.random(20), rng.integers(1, 5, 20)
+    again = np.repeat(np.arange(20), mass)
+    want = toxicity.fit_classifier([rows[i] for i in again], target[again], 9)
+    assert np.allclose(toxicity.fit_classifier(rows, target, 9, mass=mass.astype(float)), want)
