@@ -8,7 +8,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bitslice, hnsw, idfiles, language, licences, lines, mixing, neardup, packing, toxicity
+from tallyhouse.llm import (
+    bitslice,
+    hnsw,
+    idfiles,
+    language,
+    licences,
+    lines,
+    mixing,
+    neardup,
+    packing,
+    toxicity,
+    whitening,
+)
 from tallyhouse.session import scratch
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -89,6 +101,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold(4, 2))
 
 
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(spark, _table(spark, sf_dir, "embeddings"))
+    each = F.posexplode(F.arrays_zip("whitened", "explained")).alias("k", "part")
+    return found.select("vec_id", "n", "deviation", "identity_error", each).select(
+        "vec_id", (F.col("k") + 1).alias("component"), "n", "deviation", "part.whitened", "part.explained", "identity_error"
+    )
+
+
 def _licence_sql() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     places = " ".join(
