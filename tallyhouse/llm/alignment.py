@@ -48,7 +48,7 @@ CHUNK = 16 << 20
 #: Tokens of one text that are aligned at once.
 STRETCH = 1 << 20
 #: Every end of a level starts from one of the level before, this many times sparser.
-FAN = 8
+FAN = 4
 _SPACE = "▁"
 
 
@@ -107,6 +107,7 @@ class PieceEncoder:
         self._line = line[0] if len(line) == 1 and model.is_byte(line[0]) else -1
         probe = " ﬁ  Ǻ x\t "
         same = model.normalize(probe).replace(_SPACE, " ") in (probe, " " + probe)
+        self._apart = ~self._meet.ravel()
         self._cuts = same and self._line >= 0 and not self._meet[:, 10].any() and not self._meet[10, :0x80].any()
         self._known: dict[int, np.ndarray] = {}
 
@@ -122,7 +123,7 @@ class PieceEncoder:
     def _block(self, data: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block and how many each of its values has; values: their starts."""
         cut = np.ones(len(data), dtype=bool)
-        cut[1:] = ~self._meet[data[:-1], data[1:]]
+        cut[1:] = self._apart.take(data[:-1].astype(np.uint16) << 8 | data[1:])
         cut[values] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
@@ -183,45 +184,38 @@ class PieceEncoder:
 
 
 def _leap(values: np.ndarray, longer: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """How many of ``longer`` lie below each of ``values``, at least ``low``: steps double
-    until they pass the value, then the last step is halved."""
-    n, low, high, step = len(longer), low.copy(), low.copy(), 1
-    going = np.arange(len(values))
-    while len(going):
-        probe = np.minimum(low[going] + step, n) - 1
-        less = (probe >= low[going]) & (longer[probe] < values[going])
-        stop = going[~less]
-        high[stop] = np.maximum(probe[~less], low[stop])
-        going = going[less]
-        high[going] = low[going] = probe[less] + 1
+    """How many of ``longer``, whose last is above all values, lie below each of ``values``,
+    at least ``low``: steps double until they reach the value, then the last step is halved."""
+    out, at, step = low.copy(), np.arange(len(values), dtype=np.int32), 1
+    while len(at):
+        less = longer.take(low + (step - 1), mode="clip") < values
+        stop = ~less
+        found, value, half = low[stop], values[stop], step >> 1
+        while half:
+            found += half * (longer.take(found + (half - 1), mode="clip") < value)
+            half >>= 1
+        out[at[stop]] = found
+        at, low, values = at[less], low[less] + step, values[less]
         step *= 2
-    going = np.flatnonzero(low < high)
-    while len(going):
-        middle = (low[going] + high[going]) >> 1
-        less = longer[middle] < values[going]
-        low[going[less]] = middle[less] + 1
-        high[going[~less]] = middle[~less]
-        going = going[low[going] < high[going]]
-    return low
+    return out
 
 
 def gallop(shorter: np.ndarray, longer: np.ndarray) -> np.ndarray:
     """How many of the ascending ``longer`` lie below each of the ascending ``shorter``."""
-    rank = np.zeros(len(shorter), dtype=np.int64)
-    if not len(longer):
-        return rank
+    rank = np.zeros(len(shorter), dtype=np.int32)
+    top = max(int(shorter[-1]) if len(shorter) else 0, int(longer[-1]) if len(longer) else 0) + 1
+    kind = np.int32 if top < 2**31 else np.int64
+    shorter, longer = shorter.astype(kind), np.append(longer, top).astype(kind)
     stride = 1
     while stride * FAN < len(shorter):
         stride *= FAN
-    start = np.zeros(len(range(0, len(shorter), stride)), dtype=np.int64)
+    start = np.zeros(len(range(0, len(shorter), stride)), dtype=np.int32)
     while True:
-        at = np.arange(0, len(shorter), stride)
-        rank[at] = _leap(shorter[at], longer, start)
+        rank[::stride] = _leap(shorter[::stride], longer, start)
         if stride == 1:
             return rank
         stride //= FAN
-        at = np.arange(0, len(shorter), stride)
-        start = rank[at - at % (stride * FAN)]
+        start = np.repeat(rank[:: stride * FAN], FAN)[: len(range(0, len(shorter), stride))]
 
 
 def aligned(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -231,7 +225,7 @@ def aligned(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndar
     drive, other = (b_ends, a_ends) if turned else (a_ends, b_ends)
     rank = gallop(drive, other)
     hit = other[np.minimum(rank, len(other) - 1)] == drive
-    first = np.concatenate(([0], (rank + hit)[:-1])).astype(np.int64)
+    first = np.concatenate((np.zeros(1, np.int32), (rank + hit)[:-1]))
     count = rank - first + 1
     ends = np.cumsum(count)
     own = np.repeat(np.arange(len(drive)), count)
@@ -245,28 +239,28 @@ def aligned(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Writer:
     """The decimal text of groups."""
 
+    _SIGNS = ",|;"
+
     def __init__(self, ids: int):
-        width = len(str(max(ids - 1, 0)))
-        number = np.arange(ids)
-        self._size = np.ones(ids, dtype=np.int64)
-        for k in range(1, width):
-            self._size += number >= 10**k
-        power = 10 ** np.maximum(self._size[:, None] - 1 - np.arange(width + 1), 0)
-        self._digits = (number[:, None] // power % 10 + 48).astype(np.uint8)
+        texts = [f"{i}{sign}".encode() for i in range(ids) for sign in self._SIGNS]
+        width = -(-max(map(len, texts), default=1) // 8)
+        self._size = np.array([len(t) for t in texts], dtype=np.int32)
+        raw = np.frombuffer(b"".join(t.ljust(8 * width, b"\0") for t in texts), dtype=np.uint64)
+        self._text = raw.reshape(-1, width)
 
     def text(self, a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of ``a1,a2|b1;...`` with a separator behind every id, and where each ``b`` group ends."""
-        ids = np.zeros(len(a) + len(b), dtype=np.int64)
-        sign = np.full(len(ids), ord(","), dtype=np.uint8)
+        row = np.zeros(len(a) + len(b), dtype=np.int64)
         before = np.concatenate(([0], b_cuts[:-1] + 1))
         at_a = np.arange(len(a)) + np.repeat(before, np.diff(a_cuts, prepend=-1))
         at_b = np.arange(len(b)) + np.repeat(a_cuts + 1, np.diff(b_cuts, prepend=-1))
-        ids[at_a], ids[at_b] = a, b
-        sign[at_a[a_cuts]], sign[at_b[b_cuts]] = ord("|"), ord(";")
-        size = self._size[ids]
-        wide = self._digits[ids]
-        wide[np.arange(len(ids)), size] = sign
-        return wide[np.arange(wide.shape[1]) <= size[:, None]], np.cumsum(size + 1)[at_b[b_cuts]]
+        row[at_a], row[at_b] = a, b
+        row *= len(self._SIGNS)
+        last = at_b[b_cuts]
+        row[at_a[a_cuts]] += 1
+        row[last] += 2
+        wide = self._text.take(row, axis=0).view(np.uint8).ravel()
+        return wide[wide != 0], np.cumsum(self._size.take(row))[last]
 
 
 class Aligner:

@@ -19,6 +19,7 @@ from tallyhouse.llm import (
     mixing,
     neardup,
     packing,
+    suffixes,
     toxicity,
     whitening,
 )
@@ -103,6 +104,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), fold(4, 2))
 
 
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.without_repeats(spark, _table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 @query
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(spark, _table(spark, sf_dir, "documents"), BYTE_TOKENIZER, PIECE_TOKENIZER)
