@@ -185,10 +185,13 @@ def _rayleigh(a: np.ndarray, shift: float, x: np.ndarray, apart: list[np.ndarray
     """One eigenpair: two steps of inverse iteration at ``shift``, then the quotient is the shift."""
     eye, value, settled = np.eye(len(a)), shift, False
     for step in range(40):
+        at = shift if step < 2 else value
         try:
-            y = np.linalg.solve(a - (shift if step < 2 else value) * eye, x)
+            y = np.linalg.solve(a - at * eye, x)
         except np.linalg.LinAlgError:
-            y = np.linalg.solve(a - (value + tight) * eye, x)
+            y = np.full(len(a), np.inf)
+        if not (np.isfinite(y).all() and np.abs(y).max() < 1e150):  # the shift is an eigenvalue to the last digit
+            y = np.linalg.solve(a - (at + tight) * eye, x)
         y = _apart(y / np.linalg.norm(y), apart)
         x = y / np.linalg.norm(y)
         value = float(x @ a @ x)
