@@ -10,15 +10,18 @@ same text or another; strings never cross texts, and all are judged on the input
    so a string and its repeat have the same anchor, and a run of strings in a row shares one:
    its span. A span whose anchor's seed occurs nowhere else is done, and so is one whose
    seed occurs in equal spans only. Seeds and spans are compared by 64-bit hashes of both.
-3. What is left are anchors with unlike spans, each distinct span once. Sampled splitters
-   range-partition their suffixes by leading bytes, longer than the seed, so that a frequent
-   seed is spread. A task sorts its suffixes by multikey quicksort, eight bytes a level and
-   only among those equal so far, and takes the common prefixes of neighbours; and likewise
-   the bytes before the anchors, backwards. A string is repeated if another span agrees in as
-   many bytes before and after the anchor as it has there: two classes read off the prefixes.
-4. Suffixes with the first or the last seed of a task may go on in the next one: their strings
-   are compared across boundaries by 128-bit fingerprints, those alone a row each, those met
-   twice one row together.
+3. What is left are anchors with unlike spans, each distinct span once. Where more than ``HOT``
+   share a seed (a passage in many contexts), each is cut into spans of ``FEW`` strings; what
+   such strings have in common is their seed, nearly as long as a string, and step 2 is taken
+   once more, which leaves the few strings about the ends of the passage.
+4. Sampled splitters range-partition the suffixes by leading bytes, as many as a string has, so
+   that a frequent seed is spread. A task sorts its suffixes by multikey quicksort, eight bytes
+   a level and only among those equal so far, and takes the common prefixes of neighbours; and
+   likewise the bytes before the anchors, backwards. A string is repeated if another span agrees
+   in as many bytes before and after the anchor as it has there: two classes read off the prefixes.
+5. What lies beyond a boundary agrees with a suffix in no more bytes than the first or the last
+   suffix of its task does. Strings that this allows are compared across boundaries by 128-bit
+   fingerprints, those alone a row each, those met twice one row together.
 
 Nothing is paired, so the work is linear in the bytes for groups of any size.
 
@@ -45,9 +48,14 @@ from tallyhouse.session import materialize, scratch
 LENGTH = 200
 #: Spans that a task sorts, on average.
 SORTED = 32_768
+#: Unlike spans with one seed that are sorted as they are.
+HOT = 1024
+#: Strings of a span that stands for a part of one with a frequent seed.
+FEW = 8
 #: Bits of a place behind its start: anchor and number of strings take half each.
 _BITS = 12
 _POSITION = np.uint64((1 << 21) - 1)
+_SHIFT = np.uint64(0x9FB21C651E98DF25)
 _OTHER = np.random.default_rng(11).permutation(256).astype(np.uint8)
 
 
@@ -55,6 +63,11 @@ def seed_of(length: int) -> int:
     return max(length // 5, 1)
 
 
+def _opened(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of places: start of the span in its text, the anchor from there, number of strings."""
+    return place >> 2 * _BITS, place >> _BITS & (1 << _BITS) - 1, place & (1 << _BITS) - 1
+
+
 def least(values: np.ndarray, width: int) -> np.ndarray:
     """The least of every ``width`` values in a row, from running minima of blocks both ways."""
     n = len(values) - width + 1
@@ -87,7 +100,7 @@ def spans_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int
     begin = np.flatnonzero(new)
     count = np.diff(begin, append=len(first))
     lo, anchor = first[begin], anchor[begin]
-    whole = spans.hash(lo, lo + count + length - 1) ^ (anchor - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    whole = spans.hash(lo, lo + count + length - 1) ^ (anchor - lo).astype(np.uint64) * _SHIFT
     return lo, count, anchor, hashes[anchor], whole
 
 
@@ -177,16 +190,18 @@ def _words(rows: list[np.ndarray], width: int) -> np.ndarray:
 
 def repeated(spans: list[bytes], anchor: np.ndarray, count: np.ndarray, many: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of distinct spans: which of their strings (a row a span, a column a number of bytes before
-    the anchor) are repeated among them, the class of each string in its column, and which
-    spans have the first or the last seed."""
-    seed, n = seed_of(length), len(spans)
+    the anchor) are repeated among them, the class of each string in its column, and how many
+    bytes behind its anchor a span can have in common with any that sorts before or after all of these."""
+    n = len(spans)
     raw = [np.frombuffer(s, dtype=np.uint8) for s in spans]
     after, after_common = suffix_order(_words([r[a:] for r, a in zip(raw, anchor, strict=True)], length))
-    before, before_common = suffix_order(_words([r[:a][::-1] for r, a in zip(raw, anchor, strict=True)], length - seed))
-    with_seed = np.cumsum(after_common < seed)
-    edge = np.zeros(n, dtype=bool)
-    edge[after] = (with_seed == with_seed[0]) | (with_seed == with_seed[-1])
-    found = np.zeros((n, length - seed + 1), dtype=bool)
+    before, before_common = suffix_order(_words([r[:a][::-1] for r, a in zip(raw, anchor, strict=True)], int(anchor.max())))
+    first, last = np.full(n, length), np.full(n, length)
+    first[1:] = np.minimum.accumulate(after_common[1:])
+    last[:-1] = np.minimum.accumulate(after_common[:0:-1])[::-1]
+    reach = np.zeros(n, dtype=np.int64)
+    reach[after] = np.maximum(first, last)
+    found = np.zeros((n, int(anchor.max()) + 1), dtype=bool)
     classes = np.full(found.shape, -1, dtype=np.int32)
     weight = 1 + many.astype(np.int64)
     right, left = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
@@ -198,7 +213,7 @@ def repeated(spans: list[bytes], anchor: np.ndarray, count: np.ndarray, many: np
             _, of = np.unique(right[own] * (n + 1) + left[own], return_inverse=True)
             found[own, d] = np.bincount(of, weights=weight[own])[of] > 1
             classes[own, d] = of
-    return found, classes, edge
+    return found, classes, reach
 
 
 def _judged(spans: DataFrame, length: int) -> DataFrame:
@@ -217,8 +232,8 @@ def _judged(spans: DataFrame, length: int) -> DataFrame:
         table = pa.Table.from_batches(parts)
         k1, k2, place = (table.column(c).to_numpy() for c in ("k1", "k2", "place"))
         many, spans = table.column("many").to_numpy(), table.column("bytes").to_pylist()
-        lo, anchor, count = place >> 2 * _BITS, place >> _BITS & (1 << _BITS) - 1, place & (1 << _BITS) - 1
-        found, classes, edge = repeated(spans, anchor, count, many, length)
+        lo, anchor, count = _opened(place)
+        found, classes, reach = repeated(spans, anchor, count, many, length)
         # strings by their start in the text: the more bytes before the anchor the earlier
         turned = np.zeros((len(spans), found.shape[1] + 2), dtype=np.int8)
         turned[:, 1:-1] = (found & ~many[:, None])[:, ::-1]
@@ -227,7 +242,7 @@ def _judged(spans: DataFrame, length: int) -> DataFrame:
         _, closes = np.nonzero(step < 0)
         shift = (lo + anchor)[row] - (found.shape[1] - 1)
         yield batch_of(k1[row], k2[row], opens + shift, closes + shift, None, None, np.ones(len(row), np.int64))
-        row, d = np.nonzero((classes >= 0) & edge[:, None])
+        row, d = np.nonzero((classes >= 0) & (length - np.arange(found.shape[1]) <= reach[:, None]))
         known = found[row, d]
         # a repeated string once for all
         _, one = np.unique(np.stack([d[known], classes[row, d][known]]), axis=1, return_index=True)
@@ -243,23 +258,72 @@ def _judged(spans: DataFrame, length: int) -> DataFrame:
     return spans.select("k1", "k2", "place", "many", "bytes").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _marks(spark: SparkSession, texts: DataFrame, length: int) -> DataFrame:
-    """k1, k2, spans: byte ranges of texts that occur once, whose strings occur elsewhere."""
-    seeds = _anchored(texts, length).groupBy("seed").agg(
-        F.count("*").alias("n"), F.max("many").alias("twice"), F.min("span").alias("low"), F.max("span").alias("high")
-    )
+def _parts(spans: DataFrame, length: int) -> DataFrame:
+    """Spans with their bytes in parts of ``FEW`` strings at most, which begin at the same numbers
+    of bytes before the anchor in all: k1, k2, place, many, seed, span. All strings of a part
+    hold its seed."""
+    schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("place", pa.int64()), ("many", pa.bool_()), ("seed", pa.int64()), ("span", pa.int64())])
+    seed = length - min(FEW, length // 2) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        few = length - seed + 1
+        for batch in batches:
+            k1, k2, place = (batch.column(c).to_numpy() for c in ("k1", "k2", "place"))
+            many = batch.column("many").to_numpy(zero_copy_only=False)
+            raw = batch.column("bytes").to_pylist()
+            data, offsets = np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)])
+            lo, anchor, count = _opened(place)
+            low, high = (anchor - count + 1) // few, anchor // few
+            row = np.repeat(np.arange(len(place)), high - low + 1)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - high - 1, high - low + 1)
+            # strings by bytes before the anchor, and the part's own anchor: the seed's start
+            near, far = np.maximum(part * few, (anchor - count + 1)[row]), np.minimum(part * few + few - 1, anchor[row])
+            core = anchor[row] - part * few
+            begin, size = anchor[row] - far, far - near + 1
+            spans = Spans(data)
+            seeds = spans.hash(offsets[row] + core, offsets[row] + core + seed)
+            whole = spans.hash(offsets[row] + begin, offsets[row] + begin + size + length - 1) ^ (core - begin).astype(np.uint64) * _SHIFT
+            columns = (k1[row], k2[row], (lo[row] + begin) << 2 * _BITS | (core - begin) << _BITS | size, many[row], seeds.view(np.int64), whole.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return spans.select("k1", "k2", "place", "many", "bytes").mapInArrow(run, "k1 long, k2 long, place long, many boolean, seed long, span long")
+
+
+def _sifted(spark: SparkSession, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of spans (k1, k2, place, many, seed, span): k1, k2, place of those that others equal; and
+    k1, k2, place, many, seed of every distinct one that must be sorted among unlike ones."""
+    seeds = rows.groupBy("seed").agg(F.count("*").alias("n"), F.max("many").alias("twice"), F.min("span").alias("low"), F.max("span").alias("high"))
     seeds = seeds.where((F.col("n") > 1) | F.col("twice")).select("seed", (F.col("low") != F.col("high")).alias("unlike"))
-    met = materialize(spark, _anchored(texts, length).join(seeds, "seed"), "anchors")
+    # a table of its own, so that a join on a frequent seed can be split
+    met = materialize(spark, rows.join(materialize(spark, seeds, "seeds").hint("merge"), "seed"), "anchors")
     unlike = met.where("unlike")
     one = (F.first(c).alias(c) for c in ("k1", "k2", "place"))  # any row of the group, the same for all three
     kinds = materialize(spark, unlike.groupBy("seed", "span").agg((F.max("many") | (F.count("*") > 1)).alias("many"), *one), "spans")
-    # the bytes of each distinct span, from the one text that stands for it
-    wanted = kinds.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "many")).alias("wanted"))
+    equal = unlike.join(kinds.where("many").select("seed", "span").hint("merge"), ["seed", "span"], "left_semi")
+    runs = met.where("NOT unlike").unionByName(equal).where("NOT many").select("k1", "k2", "place")
+    return runs, kinds.drop("span")
+
+
+def _with_bytes(texts: DataFrame, spans: DataFrame, length: int) -> DataFrame:
+    """Spans with their bytes, from the one text that stands for each."""
+    wanted = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("place", "many")).alias("wanted"))
     raw = texts.select("k1", "k2", F.col("text").cast("binary").alias("raw")).join(wanted.hint("shuffle_hash"), ["k1", "k2"])
     each = raw.select("k1", "k2", "raw", F.explode("wanted").alias("w")).select("k1", "k2", "w.place", "w.many", "raw")
     start, size = F.shiftright("place", 2 * _BITS), (F.col("place").bitwiseAND((1 << _BITS) - 1) + length - 1).cast("int")
-    each = each.withColumn("bytes", F.substring("raw", (start + 1).cast("int"), size)).drop("raw")
-    each = materialize(spark, each, "span-bytes")
+    return each.withColumn("bytes", F.substring("raw", (start + 1).cast("int"), size)).drop("raw")
+
+
+def _marks(spark: SparkSession, texts: DataFrame, length: int) -> DataFrame:
+    """k1, k2, marks: byte ranges of texts that occur once, whose strings occur elsewhere."""
+    runs, kinds = _sifted(spark, _anchored(texts, length))
+    hot = materialize(spark, kinds.groupBy("seed").count().where(F.col("count") > HOT).select("seed"), "hot-seeds")
+    spans = kinds.drop("seed")
+    if not hot.isEmpty():
+        cut = _parts(_with_bytes(texts, kinds.join(hot, "seed", "left_semi"), length), length)
+        more, parts = _sifted(spark, cut)
+        runs = runs.unionByName(more)
+        spans = kinds.join(hot, "seed", "left_anti").drop("seed").unionByName(parts.drop("seed"))
+    each = materialize(spark, _with_bytes(texts, spans, length), "span-bytes")
     anchor = F.shiftright("place", _BITS).bitwiseAND((1 << _BITS) - 1).cast("int")
     tasks = each.count() // SORTED + 1
     parted = each.withColumn("suffix", F.substring("bytes", anchor + 1, F.lit(length))).repartitionByRange(tasks, "suffix", "bytes")
@@ -268,8 +332,6 @@ def _marks(spark: SparkSession, texts: DataFrame, length: int) -> DataFrame:
     twice = across.groupBy("f1", "f2").agg(F.sum("weight").alias("n")).where("n > 1").select("f1", "f2")
     last = lambda c: F.col(c) + length - 1
     lone = judged.where("f1 IS NULL").unionByName(across.where("weight = 1").join(twice, ["f1", "f2"])).select("k1", "k2", "first", last("last").alias("last"))
-    equal = unlike.join(kinds.where("many").select("seed", "span"), ["seed", "span"], "left_semi")
-    runs = met.where("NOT unlike").unionByName(equal).where("NOT many")
     runs = runs.select("k1", "k2", F.shiftright("place", 2 * _BITS).alias("first"), F.col("place").bitwiseAND((1 << _BITS) - 1).alias("n"))
     runs = runs.select("k1", "k2", "first", (F.col("first") + last("n")).alias("last"))
     return runs.unionByName(lone).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
