@@ -18,11 +18,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents in a known language. Those that the model rejects go: texts that are null
     or without a letter, and those far from every centroid."""
     model = language.fit(docs)
-    names = docs.columns
-    rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
-    text = f"c{names.index('text')}"
-    found = language.identify(rows, model, {c: F.col(c) for c in rows.columns}, text_col=text)
-    return found.where("accepted").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
+    return docs.where(language.accepted(model, F.col("text")))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

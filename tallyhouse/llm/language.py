@@ -228,18 +228,24 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return model
 
 
+def _predicted(model: Model, column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, cosine and acceptance of every text of an Arrow column."""
+    n = len(column)
+    lang, score, ok = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.zeros(n, dtype=bool)
+    for at, rows in _batched(column) if model.langs else ():
+        near = _vectors(rows, model.idf) @ model.centroids.T
+        best = near.argmax(axis=1)
+        value = near[np.arange(len(at)), best]
+        lang[at] = [model.langs[b] for b in best]
+        score[at] = np.clip(value, 0, 1)
+        ok[at] = value >= model.floors[best, _band(np.array([r.sum() for r in rows]))]
+    return lang, score, ok
+
+
 def _predictor(model: Model):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            lang, score, ok = np.full(n, UNKNOWN, dtype=object), np.zeros(n), np.zeros(n, dtype=bool)
-            for at, rows in _batched(batch.column(batch.num_columns - 1)) if model.langs else ():
-                near = _vectors(rows, model.idf) @ model.centroids.T
-                best = near.argmax(axis=1)
-                value = near[np.arange(len(at)), best]
-                lang[at] = [model.langs[b] for b in best]
-                score[at] = np.clip(value, 0, 1)
-                ok[at] = value >= model.floors[best, _band(np.array([r.sum() for r in rows]))]
+            lang, score, ok = _predicted(model, batch.column(batch.num_columns - 1))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(lang, pa.string()), pa.array(score), pa.array(ok)],
                 names=[*batch.schema.names[:-1], "lang_pred", "score", "accepted"],
@@ -248,6 +254,18 @@ def _predictor(model: Model):
     return predict
 
 
+def accepted(model: Model, text: Column) -> Column:
+    """Whether the text is in a known language. Only the text is sent to Python; the other
+    columns of a row stay where they are."""
+
+    @F.arrow_udf("boolean")
+    def known(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(_predicted(model, column)[2])
+
+    return known(text.cast("string"))
+
+
 def identify(docs: DataFrame, model: Model, keep: dict[str, Column], text_col: str = "text") -> DataFrame:
     """The columns of ``keep`` (name to expression), lang_pred, score and accepted of every row."""
     rows = docs.select(*(c.alias(k) for k, c in keep.items()), F.col(text_col).cast("string").alias("text"))
