@@ -22,17 +22,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier one. Those that would lose more than
-    half of their text may be copies as a whole: the next stage takes the copies among them
-    and cuts the others."""
+    """Documents without lines that repeat an earlier one. Those that are line for line what
+    another one keeps are left for the next stage, which takes them whole."""
     return lines.without_repeats(spark, docs)
 
 
 def copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Rows that
-    repeat it whole stay with it once; rows without an id stay if no other of the group has one.
-    Whatever lines then still repeat an earlier one are cut, however much a document loses,
-    short lines that equal an earlier one too."""
+    repeat it whole stay with it once; rows without an id stay if no other of the group has one."""
     found = neardup.near_duplicates(spark, docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
     kept = kept.toDF("kept_id", "kept_hash")
@@ -41,8 +38,7 @@ def copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own, text = F.col(f"c{names.index('doc_id')}"), F.col(f"c{names.index('text')}").cast("string")
     same = own.eqNullSafe(F.col("kept_id")) & F.xxhash64(text).eqNullSafe(F.col("kept_hash"))
     once = rows.join(kept, same).dropDuplicates(["kept_id", "kept_hash"])
-    left = materialize(spark, once.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names))), "copies-gone")
-    return lines.without_repeats(spark, left, most=1.0, all_lines=True)
+    return once.select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.llm.graph import components
@@ -198,39 +198,59 @@ def line_classes(
     out = rows.select(*place, F.octet_length("line").alias("n_bytes"), "h1", "h2").join(named, ["h1", "h2"])
     return out.select(
         *place, "n_bytes", "n_links", F.col("head.doc_id").alias("class_doc_id"), F.col("head.line_no").alias("class_line_no"),
-        F.struct(*place).eqNullSafe(F.col("head")).alias("kept"),
+        F.struct(*place).eqNullSafe(F.col("head")).alias("kept"), F.col("head.text_hash").alias("class_text_hash"), "h1",
     )
 
 
+def _rest(text: Column, lost: Column) -> Column:
+    """The text without the lines of the numbers ``lost``."""
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        out = []
+        for t, n in zip(texts.to_pylist(), numbers.to_pylist(), strict=True):
+            gone = set(n or ())
+            out.append(None if t is None else "\n".join(p for k, p in enumerate(t.split("\n")) if k not in gone))
+        return pa.array(out, pa.string())
+
+    return cut(F.when(lost.isNotNull(), text), lost)
+
+
 def without_repeats(
-    spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, most: float = 0.5,
-    id_col: str = "doc_id", text_col: str = "text", all_lines: bool = False,
-) -> DataFrame:
-    """The rows of ``docs`` without lines that repeat an earlier one.
-
-    A document that would lose more than ``most`` of its bytes stays as it is, for document
-    dedup to judge first; what that leaves is cut by a second call with ``most`` 1, which
-    exempts none. With ``all_lines`` lines below ``shortest`` that equal an earlier one go
-    too. A column ``n_chars`` follows the text.
+    spark: SparkSession, docs: DataFrame, edits: int = EDITS, shortest: int = SHORTEST, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` without lines that repeat an earlier one; lines below ``shortest``
+    bytes repeat those they equal.
+
+    One case stays as it is: a document whose lines are, one for one and in order, those that
+    another one keeps. Cut, it would be empty; whole, it is a copy for document dedup to take.
+    A column ``n_chars`` follows the text.
     """
-    found = line_classes(spark, docs, edits, shortest, id_col, text_col, all_lines)
+    found = line_classes(spark, docs, edits, shortest, id_col, text_col, all_lines=True)
     key = ["doc_id", "text_hash"]
-    per_row = found.where("NOT kept").select(*key, "line_no", "n_bytes").distinct().groupBy(*key)
-    lost = per_row.agg(F.collect_set("line_no").alias("lost"), F.sum("n_bytes").alias("lost_bytes"))
-    lost = lost.toDF("lost_id", "lost_hash", "lost", "lost_bytes")
+    line = F.struct("line_no", "h1", "kept", F.col("class_doc_id").alias("head_id"), F.col("class_text_hash").alias("head_hash"))
+    # as many entries as a document has lines; rows that repeat a document repeat its lines
+    each = found.groupBy(*key).agg(F.sort_array(F.collect_set(line)).alias("lines"))
+    signs = lambda x: F.xxhash64(F.transform(x, lambda v: v["h1"]))
+    gone = F.filter("lines", lambda v: ~v["kept"])
+    each = each.select(*key, signs(F.col("lines")).alias("all_signs"), signs(F.filter("lines", lambda v: v["kept"])).alias("kept_signs"), F.size("lines").alias("n"), gone.alias("gone"))
+    each = materialize(spark, each.withColumn("head", F.get("gone", F.lit(0))), "document-lines")
+    heads = each.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("kept_signs").alias("s"), F.lit(True).alias("copy"))
+    other = F.col("head.head_id").eqNullSafe(F.col("d")) & (F.col("head.head_hash") == F.col("t")) & (F.col("all_signs") == F.col("s"))
+    lost = each.where(F.size("gone") > 0).join(heads, other & (F.size("gone") == F.col("n")), "left").where("copy IS NULL")
+    lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("text_hash").alias("lost_hash"), F.transform("gone", lambda v: v["line_no"]).alias("lost"))
     names = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(names))))
     own, text = (F.col(f"c{names.index(c)}") for c in (id_col, text_col))
     plain = plain.withColumn("h", F.xxhash64(text.cast("string")))
     joined = plain.join(lost, own.eqNullSafe(F.col("lost_id")) & (F.col("h") == F.col("lost_hash")), "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("lost", i)), "\n")
-    cut = F.col("lost").isNotNull() & (F.col("lost_bytes") <= most * F.octet_length(text))
+    joined = joined.withColumn("rest", F.when(F.col("lost").isNotNull(), _rest(text.cast("string"), F.col("lost"))).otherwise(text))
     out = []
     for i, (name, field) in enumerate(zip(names, docs.schema.fields, strict=True)):
         column = F.col(f"c{i}")
         if name == text_col:
-            column = F.when(cut, rest).otherwise(column)
+            column = F.col("rest")
         elif name == "n_chars":
-            column = F.when(cut, F.length(rest).cast(field.dataType)).otherwise(column)
+            column = F.when(F.col("lost").isNotNull(), F.length("rest").cast(field.dataType)).otherwise(column)
         out.append(column.alias(name))
     return joined.select(*out)

@@ -85,3 +85,25 @@ def line_classes(rows, edits, shortest):
     for g, line in zip(of, lines, strict=True):
         heads[g] = min([heads[g], *places[line]] if g in heads else places[line])
     return {p: (n[i], heads[of[i]]) for i, line in enumerate(lines) for p in places[line]}
+
+
+def without_repeats(rows, edits, shortest):
+    """rows: (doc_id, text) with distinct ids. The texts by id without lines that repeat an
+    earlier one; those that are line for line what another keeps stay."""
+    heads = {k: h for k, (_, h) in line_classes(rows, edits, shortest).items()}
+    blank, seen = " \t\r\x0b\x0c", {}
+    parts = {d: (t or "").split("\n") for d, t in rows}
+    for d in sorted(parts):  # short lines repeat those they equal
+        for k, line in enumerate(parts[d]):
+            if line.strip(blank) and (d, k) not in heads:
+                heads[d, k] = seen.setdefault(line.strip(blank), (d, k))
+    signs, kept, out = {}, {}, {}
+    for d, own in parts.items():
+        real = [k for k, p in enumerate(own) if p.strip(blank)]
+        signs[d] = [own[k].strip(blank) for k in real]
+        kept[d] = [own[k].strip(blank) for k in real if heads[d, k] == (d, k)]
+    for d, t in rows:
+        gone = {k for k in range(len(parts[d])) if heads.get((d, k), (d, k)) != (d, k)}
+        whole = gone and len(gone) == len(signs[d]) and signs[d] == kept[heads[d, min(gone)][0]]
+        out[d] = t if whole or not gone else "\n".join(p for k, p in enumerate(parts[d]) if k not in gone)
+    return out

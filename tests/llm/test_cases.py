@@ -214,7 +214,7 @@ def test_lines(spark, odd, empty):
     at = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.n_links, r.kept) for r in found}
     assert at[1, 0] == (1, 0, 0, True) and (2, 0) not in at and (3, 0) not in at
     assert at[5, 0][:3] == at[6, 0][:3] == at[None, 0][:3] == (None, 0, 1)
-    rest = {r.doc_id: r.text for r in lines.without_repeats(spark, odd, most=1.0).collect()}
+    rest = {r.doc_id: r.text for r in lines.without_repeats(spark, odd).collect()}
     assert rest[5] == "" and rest[2] is None and rest[7] == LONG and rest[1] == ROWS[0][1]
     assert lines.without_repeats(spark, odd).columns == odd.columns
     assert lines.line_classes(spark, empty).count() == 0 and lines.without_repeats(spark, empty).count() == 0

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import WORD, line_classes, near_components
+from brute import WORD, line_classes, near_components, without_repeats
 from compare import difference
 from conftest import SF
 from tokenizers import Tokenizer
@@ -155,13 +155,7 @@ def test_pipeline_stages(spark, docs):
             assert set(after) <= set(before) and len(after) >= 0.98 * len(before)
         elif name == "lines":
             assert after != before and sorted(d for d, _ in after) == sorted(d for d, _ in before)
-            heads, want = line_classes(before, lines.EDITS, lines.SHORTEST), {}
-            for d, t in before:
-                parts = t.split("\n")
-                lost = [k for k in range(len(parts)) if heads.get((d, k), (0, (d, k)))[1] != (d, k)]
-                size = sum(len(parts[k].strip(" \t\r\x0b\x0c").encode()) for k in lost)
-                want[d] = "\n".join(p for k, p in enumerate(parts) if k not in lost) if size <= 0.5 * len(t.encode()) else t
-            assert dict(after) == want
+            assert dict(after) == without_repeats(before, lines.EDITS, lines.SHORTEST)
         elif name == "near_duplicates":
             assert sorted(d for d, _ in after) == sorted(d for d, _, c in near_components(before, 5, 80) if d == c)
         else:

@@ -34,13 +34,14 @@ def test_documents_of_repeats_lose_them(spark):
     whole = "\n".join((a, b, c, d, e))
     texts = {
         1: whole,
-        2: whole + "\nand a few words",  # a near copy: it goes whole
+        2: whole,  # a copy goes whole
+        6: whole + "\nand a few words",  # it keeps what is its own
         3: "\n".join((a, b, c, f)),  # three quarters repeat, but it is no copy
         4: "\n".join((g, g, g, h)),  # repeats within
         5: "\n".join((a, f[:-1], g)),  # repeats of several documents only
     }
     after = _after(spark, texts)
-    assert after == {1: whole, 3: f, 4: f"{g}\n{h}", 5: ""}
+    assert after == {1: whole, 3: f, 4: f"{g}\n{h}", 5: "", 6: "and a few words"}
     found = line_classes(list(after.items()), lines.EDITS, lines.SHORTEST)
     assert all(n == 0 and head == at for at, (n, head) in found.items())
 
