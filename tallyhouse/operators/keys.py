@@ -6,6 +6,8 @@ costs one partial result per map task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -33,14 +35,40 @@ def mark(df: DataFrame, rows: DataFrame, on: list[str], flag: str) -> DataFrame:
     return joined.withColumn(flag, F.col("_hit").isNotNull()).drop("_hit", *there)
 
 
+#: Key buckets of a new table. A table keeps the number it was laid out with, which the name
+#: of its bucket column carries.
+BUCKETS = 64
+_BUCKET = re.compile(r"_key_of_(\d+)")
+
+
+def bucket_column(table: DataFrame | None = None) -> str:
+    """The bucket column that ``table`` is laid out by, else that of a new table."""
+    found = [c for c in table.columns if _BUCKET.fullmatch(c)] if table is not None else []
+    return found[0] if found else f"_key_of_{BUCKETS}"
+
+
+def with_bucket(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The number of each row's key bucket in a column that names how many there are."""
+    n = int(_BUCKET.fullmatch(name).group(1))
+    return df.withColumn(name, F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int"))
+
+
+def touched(batch: DataFrame, name: str) -> list[int]:
+    """The buckets that a stored batch has rows in: no more than there are buckets."""
+    return sorted(r[0] for r in batch.select(name).distinct().collect())
+
+
 def antijoin(new: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``new``, one per key, whose key ``target`` does not hold.
 
-    The target is first cut down to the keys of the batch. While the batch's keys
-    stay below the broadcast threshold the big side is then never shuffled.
+    ``new`` is a stored table: it is read for its buckets, for its keys and for its rows. A
+    target laid out by key buckets is read in those of ``new`` alone, its key columns only,
+    and cut down to the batch's keys before anything is shuffled while those are few.
     """
-    wanted = new.select(*keys).distinct()
-    known = target.select(*keys).join(wanted, keys, "left_semi").distinct()
+    name = bucket_column(target)
+    if name in target.columns:
+        target = target.where(F.col(name).isin(touched(with_bucket(new, keys, name), name)))
+    known = target.select(*keys).join(new.select(*keys), keys, "left_semi")
     return new.join(known, keys, "left_anti")
 
 

@@ -8,11 +8,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tallyhouse.operators.cleaning import align_to_schema, business_columns
-from tallyhouse.operators.keys import antijoin, first_per_key
+from tallyhouse.operators.keys import antijoin, bucket_column, first_per_key, with_bucket
 from tallyhouse.operators.quality import DQ
+from tallyhouse.session import materialize
 from tallyhouse.specs import FILE, LINEAGE, ROW, SHEET
 
 BATCH_ID, INGESTED_AT = "_load_batch_id", "_ingested_at"
+_ORDER = "_order"
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -31,12 +33,18 @@ def _audit(batch_id: int | None) -> dict[str, Column]:
     }
 
 
-def _save(
-    df: DataFrame, path: str, mode: str, by: Sequence[str] = (), cluster: Sequence[str] = ()
+def save_rows(
+    df: DataFrame,
+    path: str,
+    mode: str,
+    by: Sequence[str] = (),
+    cluster: Sequence[str] = (),
+    whole: bool = False,
 ) -> None:
     """Files of even size. Adaptive rebalancing also splits a partition value that
     holds most of the rows; ``cluster`` instead sorts the table by ranges, so that
-    file statistics prune by those columns."""
+    file statistics prune by those columns. An overwrite replaces the partitions of
+    ``by`` that it brings, or with ``whole`` everything below ``path``."""
     if cluster:
         order = [F.col(c) for c in [*by, *cluster]]
         even = df.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -46,7 +54,7 @@ def _save(
     if by:
         writer = writer.partitionBy(*by)
         if mode == "overwrite":
-            writer = writer.option("partitionOverwriteMode", "dynamic")
+            writer = writer.option("partitionOverwriteMode", "static" if whole else "dynamic")
     writer.parquet(path)
 
 
@@ -63,7 +71,7 @@ def raw_rows(df: DataFrame, columns: Sequence[str], batch_id: int | None) -> Dat
 def sink_raw(df: DataFrame, path: str, columns: Sequence[str], batch_id: int | None = None) -> None:
     landed = raw_rows(df, columns, batch_id)
     landed = landed.withColumn("_ingest_date", F.to_date(INGESTED_AT))
-    _save(landed, path, "append", ["_ingest_date"])
+    save_rows(landed, path, "append", ["_ingest_date"])
 
 
 def error_rows(rejected: DataFrame, batch_id: int | None = None) -> DataFrame:
@@ -84,7 +92,7 @@ def error_rows(rejected: DataFrame, batch_id: int | None = None) -> DataFrame:
 
 
 def sink_error(rejected: DataFrame, path: str, batch_id: int | None = None) -> None:
-    _save(error_rows(rejected, batch_id), path, "append")
+    save_rows(error_rows(rejected, batch_id), path, "append")
 
 
 def curated_rows(df: DataFrame, schema: T.StructType, batch_id: int | None) -> DataFrame:
@@ -98,18 +106,47 @@ def sink_curated_overwrite(
     batch_id: int | None = None,
     by: Sequence[str] = (),
     cluster: Sequence[str] = (),
+    key: Sequence[str] = (),
 ) -> None:
-    """Replace the table, or with ``by`` only the partitions present in ``df``."""
-    _save(curated_rows(df, schema, batch_id), path, "overwrite", by, cluster)
+    """Replace the table, or with ``by`` only the partitions present in ``df``.
+
+    With ``key`` the table is laid out by key buckets below ``by``, as insert-ignore reads
+    it. A value of ``by`` is then replaced folder by folder, since buckets that it no longer
+    has must go too: ``by`` is one column of few values, such as the channel.
+    """
+    rows = curated_rows(df, schema, batch_id)
+    if not key:
+        save_rows(rows, path, "overwrite", by, cluster)
+        return
+    spark = df.sparkSession
+    name = bucket_column(read_or_empty(spark, path, schema)) if by else bucket_column()
+    rows = materialize(spark, with_bucket(rows, list(key), name), "curated")
+    if not by:
+        save_rows(rows, path, "overwrite", [name], cluster, whole=True)
+        return
+    (part,) = by
+    for (value,) in rows.select(part).distinct().collect():
+        own = rows.where(F.col(part).eqNullSafe(F.lit(value))).drop(part)
+        save_rows(own, f"{path}/{part}={_folder(value)}", "overwrite", [name], cluster, whole=True)
+
+
+def _folder(value) -> str:
+    """A partition value as Spark writes it into a path."""
+    if value is None or value == "":
+        return "__HIVE_DEFAULT_PARTITION__"
+    unsafe = "\"#%'*/:=?\\{[]^"  # fixed values
+    return "".join(f"%{ord(c):02X}" if c in unsafe or ord(c) < 32 or ord(c) == 127 else c for c in str(value))
 
 
 def insert_ignore_rows(
     df: DataFrame, target: DataFrame, key: Sequence[str], order: str = ROW
 ) -> DataFrame:
-    """First row per key of the batch, less the keys the target already has."""
+    """First row per key of the batch, less the keys the target already has. The batch is
+    stored once, since its buckets are looked up before its rows are."""
     if not key:
         return df
-    return antijoin(first_per_key(df, list(key), order), target, list(key))
+    once = materialize(df.sparkSession, first_per_key(df, list(key), order), "batch")
+    return antijoin(once, target, list(key))
 
 
 def sink_curated_insert_ignore(
@@ -122,11 +159,22 @@ def sink_curated_insert_ignore(
     by: Sequence[str] = (),
     cluster: Sequence[str] = (),
 ) -> None:
-    """Append; a key that exists wins. Replaying a batch changes nothing."""
+    """Append; a key that exists wins. Replaying a batch changes nothing.
+
+    The table is laid out by key buckets, below ``by`` if given: a batch reads the keys of
+    the buckets that it has itself, and nothing else of the target.
+    """
     spark = df.sparkSession
     target = read_or_empty(spark, path, schema)
-    fresh = insert_ignore_rows(df, target, key, order)
-    _save(curated_rows(fresh, schema, batch_id), path, "append", by, cluster)
+    if not key:
+        save_rows(curated_rows(df, schema, batch_id), path, "append", by, cluster)
+        return
+    fields = [*schema.fields, T.StructField(_ORDER, df.schema[order].dataType)]
+    typed = align_to_schema(df.withColumn(_ORDER, F.col(order)), T.StructType(fields))
+    fresh = insert_ignore_rows(typed, target, key, _ORDER)
+    name = bucket_column(target)
+    rows = with_bucket(curated_rows(fresh, schema, batch_id), list(key), name)
+    save_rows(rows, path, "append", [*by, name], cluster)
 
 
 def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -172,4 +220,4 @@ def sink_forecast_replace(new: DataFrame, path: str) -> None:
     old = read_or_empty(spark, path, new.schema)
     runs = new.select("run_date").distinct()
     touched = old.join(runs, "run_date", "left_semi")
-    _save(replace_forecasts(touched, new), path, "overwrite", ["run_date"])
+    save_rows(replace_forecasts(touched, new), path, "overwrite", ["run_date"])

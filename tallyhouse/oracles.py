@@ -310,7 +310,10 @@ BODIES: dict[str, str] = {
         WHEN sheet LIKE 'Competitor%' THEN 'COMPETITOR' ELSE 'UNKNOWN' END AS source_system FROM v_sheets""",
     "route_sheet": """SELECT file, sheet, CASE lower(sheet) WHEN 'sales' THEN 'pos_batch' WHEN 'orders' THEN 'online_batch'
         WHEN 'product_updates' THEN 'product_updates' END AS feed FROM v_sheets""",
-    "scan_curated": "SELECT transaction_id, sku, store_id, quantity, unit_price, revenue FROM v_sales",
+    "scan_curated": """SELECT 'sales' AS table_name, transaction_id, sku, store_id, quantity, unit_price, revenue,
+        CAST(NULL AS VARCHAR) AS category, CAST(NULL AS VARCHAR) AS brand, CAST(NULL AS VARCHAR) AS region FROM v_sales
+        UNION ALL SELECT 'products', NULL, sku, NULL, NULL, NULL, NULL, category, brand, NULL FROM v_products
+        UNION ALL SELECT 'stores', NULL, NULL, store_id, NULL, NULL, NULL, NULL, NULL, region FROM v_stores""",
     "sink_raw": """SELECT 'lineitem.parquet' AS source_file, 'Orders' AS sheet_name, row_idx, order_id, units,
         CAST(NULL AS VARCHAR) AS note, 7 AS load_batch_id FROM v_online""",
     "sink_error": """SELECT file AS source_file, sheet AS sheet_name, 7 AS load_batch_id, issue AS dq_issue, detail AS dq_detail,
@@ -495,6 +498,7 @@ BODIES: dict[str, str] = {
         FROM customer JOIN v_geo ON c_nationkey = n_nationkey JOIN part ON p_partkey = c_custkey) c
         ON c.category = s.category AND c.region = s.region AND s.ds BETWEEN start_date AND end_date GROUP BY ALL""",
     "scd2_apply": "SELECT sku, valid_from, category, brand, package_size, list_price, valid_to, is_current FROM v_versions",
+    "scd2_merge": "SELECT sku, valid_from, category, brand, package_size, list_price, valid_to, is_current FROM v_versions",
     "scd2_asof_lookup": """SELECT transaction_id, transaction_ts, s.sku, s._row_idx AS row_idx, valid_from, brand, list_price
         FROM v_sales s LEFT JOIN v_versions v ON v.sku = s.sku AND CAST(transaction_ts AS DATE) >= valid_from
         AND (valid_to IS NULL OR CAST(transaction_ts AS DATE) <= valid_to)""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -238,7 +239,9 @@ def scan_curated(spark, d):
             "stores": ["store_id", "region"],
         },
     )
-    return found["sales"]
+    # one frame: the columns that a table lacks are NULL
+    named = [df.withColumn("table_name", F.lit(n)) for n, df in found.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 @query
@@ -547,8 +550,10 @@ def promo_interval_join(spark, d):
 @query
 def insert_ignore_antijoin(spark, d):
     rows = t.sales(spark, d).select("transaction_id", F.col(ROW).alias("row_idx"))
-    once = keys.first_per_key(rows, ["transaction_id"], "row_idx")
-    return keys.antijoin(once, t.target_keys(spark, d), ["transaction_id"])
+    once = materialize(spark, keys.first_per_key(rows, ["transaction_id"], "row_idx"), "batch")
+    path, name = scratch(spark, "target"), keys.bucket_column()
+    keys.with_bucket(t.target_keys(spark, d), ["transaction_id"], name).repartition(name).write.partitionBy(name).parquet(path)
+    return keys.antijoin(once, spark.read.parquet(path), ["transaction_id"])
 
 
 LAYERS = {
@@ -861,6 +866,17 @@ def scd2_apply(spark, d):
     return scd.scd2_apply(t.products(spark, d), t.product_updates(spark, d))
 
 
+@query
+def scd2_merge(spark, d):
+    """A stored history of the dimension, brought up to date by two batches of updates."""
+    path, updates = scratch(spark, "history"), t.product_updates(spark, d)
+    scd.scd2_create(t.products(spark, d), path)
+    half = updates.agg(F.max(ROW)).first()[0] // 2
+    for batch in (updates.filter(F.col(ROW) <= half), updates.filter(F.col(ROW) > half)):
+        scd.scd2_merge(spark, path, batch)
+    return scd.scd2_read(spark, path)
+
+
 @query
 def scd2_asof_lookup(spark, d):
     versions = materialize(spark, scd2_apply(spark, d), "versions")

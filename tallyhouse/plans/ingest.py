@@ -86,7 +86,7 @@ def write_curated(rows: DataFrame, spec: FeedSpec, path: str, batch_id: int | No
             rows, path, spec.schema, spec.target_key, batch_id, order=ARRIVAL, **layout
         )
     else:
-        sink_curated_overwrite(rows, path, spec.schema, batch_id, **layout)
+        sink_curated_overwrite(rows, path, spec.schema, batch_id, key=spec.target_key, **layout)
 
 
 def ingest_feed(
