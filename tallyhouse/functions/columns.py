@@ -20,6 +20,11 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def file_name(path: Column) -> Column:
+    """The name to show for a file; its whole path is what tells files apart."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
 def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
 

@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tallyhouse.functions.columns import (
+    file_name,
     number_text,
     strip,
     strip_currency,
@@ -145,7 +146,7 @@ def map_columns(df: DataFrame, mapping: Mapping[str, str], keep: Iterable[str] =
 def inject_columns(df: DataFrame, literals: Mapping[str, str | None], file_col=FILE) -> DataFrame:
     """Constant columns; None stands for the name of the source file."""
     return df.withColumns(
-        {c: F.col(file_col) if v is None else F.lit(v) for c, v in literals.items()}
+        {c: file_name(F.col(file_col)) if v is None else F.lit(v) for c, v in literals.items()}
     )
 
 

@@ -63,13 +63,16 @@ def antijoin(new: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
 
     ``new`` is a stored table: it is read for its buckets, for its keys and for its rows. A
     target laid out by key buckets is read in those of ``new`` alone, its key columns only,
-    and cut down to the batch's keys before anything is shuffled while those are few.
+    and cut down to the batch's keys before anything is shuffled while those are few. A NULL
+    key is a key like any other.
     """
     name = bucket_column(target)
     if name in target.columns:
         target = target.where(F.col(name).isin(touched(with_bucket(new, keys, name), name)))
-    known = target.select(*keys).join(new.select(*keys), keys, "left_semi")
-    return new.join(known, keys, "left_anti")
+    there = [f"_at{i}" for i in range(len(keys))]
+    same = [F.col(k).eqNullSafe(F.col(a)) for k, a in zip(keys, there)]
+    known = target.select(*keys).toDF(*there).join(new.select(*keys), same, "left_semi")
+    return new.join(known, same, "left_anti")
 
 
 def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:

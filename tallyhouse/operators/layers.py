@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tallyhouse.functions.columns import file_name
 from tallyhouse.operators.cleaning import align_to_schema, business_columns
 from tallyhouse.operators.keys import antijoin, bucket_column, first_per_key, with_bucket
 from tallyhouse.operators.quality import DQ
@@ -14,7 +15,7 @@ from tallyhouse.session import materialize
 from tallyhouse.specs import FILE, LINEAGE, ROW, SHEET
 
 BATCH_ID, INGESTED_AT = "_load_batch_id", "_ingested_at"
-_ORDER = "_order"
+FEED, PATH, _ORDER = "feed", "_source_path", "_order"
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -63,15 +64,21 @@ def raw_rows(df: DataFrame, columns: Sequence[str], batch_id: int | None) -> Dat
     texts = [
         (F.col(c) if c in df.columns else F.lit(None)).cast("string").alias(c) for c in columns
     ]
-    lineage = [F.col(c) for c in LINEAGE if c in df.columns]
+    lineage = [F.col(c) for c in LINEAGE if c in df.columns and c != FILE]
+    if FILE in df.columns:
+        lineage = [file_name(F.col(FILE)).alias(FILE), F.col(FILE).alias(PATH), *lineage]
     meta = [c.alias(n) for n, c in _audit(batch_id).items()]
     return df.select(*texts, *lineage, *meta)
 
 
+def _mode(batch_id: int | None) -> str:
+    """A batch replaces what a former attempt at it has left; rows without one add up."""
+    return "append" if batch_id is None else "overwrite"
+
+
 def sink_raw(df: DataFrame, path: str, columns: Sequence[str], batch_id: int | None = None) -> None:
-    landed = raw_rows(df, columns, batch_id)
-    landed = landed.withColumn("_ingest_date", F.to_date(INGESTED_AT))
-    save_rows(landed, path, "append", ["_ingest_date"])
+    """One folder per batch."""
+    save_rows(raw_rows(df, columns, batch_id), path, _mode(batch_id), [BATCH_ID])
 
 
 def error_rows(rejected: DataFrame, batch_id: int | None = None) -> DataFrame:
@@ -91,8 +98,10 @@ def error_rows(rejected: DataFrame, batch_id: int | None = None) -> DataFrame:
     )
 
 
-def sink_error(rejected: DataFrame, path: str, batch_id: int | None = None) -> None:
-    save_rows(error_rows(rejected, batch_id), path, "append")
+def sink_error(rejected: DataFrame, path: str, batch_id: int | None = None, feed: str | None = None) -> None:
+    """One folder per batch and feed."""
+    rows = error_rows(rejected, batch_id).withColumn(FEED, F.lit(feed).cast("string"))
+    save_rows(rows, path, _mode(batch_id), [BATCH_ID, FEED])
 
 
 def curated_rows(df: DataFrame, schema: T.StructType, batch_id: int | None) -> DataFrame:
@@ -192,15 +201,22 @@ def sink_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True, emptyValue="")
 
 
+def sink_csv_batch(df: DataFrame, path: str, feed: str, batch_id: int, replace: bool) -> None:
+    """The CSV of a feed, one folder per batch. ``replace`` leaves this batch's alone; other
+    feeds of the table keep theirs."""
+    rows = df.withColumn(BATCH_ID, F.lit(batch_id).cast("int")).write.mode("overwrite").partitionBy(BATCH_ID)
+    rows = rows.option("partitionOverwriteMode", "static" if replace else "dynamic")
+    rows.csv(f"{path}/{FEED}={_folder(feed)}", header=True, emptyValue="")
+
+
 def dq_report_sink(rejected: DataFrame, path: str, stamp: str) -> None:
-    """Rejected rows by run, file and sheet."""
+    """Rejected rows by run, file and sheet; a run written again replaces its own."""
     report = rejected.select(
         *business_columns(rejected.drop(*DQ)), *DQ[:3], F.lit(stamp).alias("_report_ts"), *DQ[3:]
     )
     even = report.hint("rebalance", F.col("_dq_source_file"), F.col("_dq_sheet"))
-    even.write.mode("append").partitionBy("_report_ts", "_dq_source_file", "_dq_sheet").csv(
-        path, header=True
-    )
+    writer = even.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("_report_ts", "_dq_source_file", "_dq_sheet").csv(path, header=True)
 
 
 def replace_forecasts(old: DataFrame, new: DataFrame) -> DataFrame:

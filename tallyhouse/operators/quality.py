@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tallyhouse.functions.columns import file_name
 from tallyhouse.functions.rules import has_rule, violates
 from tallyhouse.operators.keys import first_rows, mark
 from tallyhouse.specs import FILE, LINEAGE, ROW, SHEET
@@ -92,7 +93,7 @@ def dq_gate(
         .withColumns(
             {
                 "_dq_action": F.when(F.col("_dq_issue").isNotNull(), REMOVED),
-                "_dq_source_file": F.col(FILE),
+                "_dq_source_file": file_name(F.col(FILE)),
                 "_dq_sheet": F.col(SHEET),
             }
         )
@@ -176,7 +177,7 @@ def _reject(df: DataFrame, issue: str, detail: Column) -> DataFrame:
             "_dq_issue": F.lit(issue),
             "_dq_detail": detail,
             "_dq_action": F.lit(REMOVED),
-            "_dq_source_file": F.col(FILE),
+            "_dq_source_file": file_name(F.col(FILE)),
             "_dq_sheet": F.col(SHEET),
         }
     )

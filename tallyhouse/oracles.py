@@ -498,6 +498,21 @@ BODIES: dict[str, str] = {
         FROM customer JOIN v_geo ON c_nationkey = n_nationkey JOIN part ON p_partkey = c_custkey) c
         ON c.category = s.category AND c.region = s.region AND s.ds BETWEEN start_date AND end_date GROUP BY ALL""",
     "scd2_apply": "SELECT sku, valid_from, category, brand, package_size, list_price, valid_to, is_current FROM v_versions",
+    "ingest_curated": f"""SELECT transaction_id, {_any_format('ts')} AS transaction_ts, store_id, sku, TRY_CAST(qty AS DECIMAL(12,4)) AS quantity,
+        TRY_CAST(unit_price AS DECIMAL(12,4)) AS unit_price, TRY_CAST(amount AS DECIMAL(14,4)) AS revenue, currency,
+        'POS' AS source_system, 'lineitem.parquet' AS source_file, 1 AS load_batch_id FROM v_gate WHERE issue IS NULL""",
+    "ingest_layers": """SELECT layer, CAST(b AS INTEGER) AS load_batch_id, n FROM (VALUES (1), (2)) t(b), (
+        SELECT 'raw' AS layer, COUNT(*) AS n FROM v_feed UNION ALL SELECT 'csv', COUNT(*) FROM v_gate WHERE issue IS NULL
+        UNION ALL SELECT 'error ' || issue, COUNT(*) FROM v_gate WHERE issue IS NOT NULL GROUP BY 1)""",
+    "ingest_audit": f"""SELECT CAST(b AS INTEGER) AS load_batch_id, 'INCREMENTAL' AS load_type, COUNT(*) AS rows_in,
+        COUNT(*) FILTER (issue IS NULL) AS attempted, COUNT(*) FILTER (issue IS NULL AND b = 1) AS inserted,
+        COUNT(*) FILTER (issue IN ('DUPLICATE_ROW', 'PK_DUPLICATE')) AS deduped, COUNT(*) FILTER (issue IS NOT NULL) AS rejected,
+        COUNT(*) FILTER (issue IS NULL AND (unit_price IS NULL) <> (amount IS NULL)) AS repaired,
+        COUNT(*) FILTER (issue IS NULL AND (currency <> 'USD' OR sku NOT IN (SELECT sku FROM v_products)
+            OR store_id NOT IN (SELECT store_id FROM v_stores))) AS flagged,
+        COUNT(*) FILTER (issue IS NULL AND ts < newest - INTERVAL 7 DAY) AS late_arriving, 'pos_batch' AS feed
+        FROM (SELECT * REPLACE ({_any_format('ts')} AS ts), MAX({_any_format('ts')}) OVER () AS newest FROM v_gate), (VALUES (1), (2)) t(b)
+        GROUP BY b""",
     "scd2_merge": "SELECT sku, valid_from, category, brand, package_size, list_price, valid_to, is_current FROM v_versions",
     "scd2_asof_lookup": """SELECT transaction_id, transaction_ts, s.sku, s._row_idx AS row_idx, valid_from, brand, list_price
         FROM v_sales s LEFT JOIN v_versions v ON v.sku = s.sku AND CAST(transaction_ts AS DATE) >= valid_from

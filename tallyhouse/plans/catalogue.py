@@ -24,16 +24,18 @@ from tallyhouse.operators import (
     series as sr,
 )
 from tallyhouse.operators import keys
-from tallyhouse.plans import context
+from tallyhouse.plans import context, ingest
 from tallyhouse.session import materialize, scratch
 from tallyhouse.sources import files, grids, tables, workbooks as wb
 from tallyhouse.specs import (
     FEEDS,
     FILE,
     FORECASTS,
+    PRODUCTS,
     ROW,
     SALES,
     SHEET,
+    STORES,
     FeedSpec,
 )
 from tallyhouse.streaming import incremental as st
@@ -323,6 +325,46 @@ def dq_report_sink(spark, d):
     )
 
 
+def _ingested(spark, d) -> str:
+    """Point-of-sale rows as batch 1, batch 1 run again, and the same rows as batch 2."""
+    out = scratch(spark, "lake")
+    ly.sink_curated_overwrite(t.products(spark, d), f"{out}/curated/dim_product", PRODUCTS)
+    ly.sink_curated_overwrite(t.stores(spark, d), f"{out}/curated/dim_store", STORES)
+    landed = materialize(spark, t.pos_feed(spark, d), "landed")
+    for batch in (1, 1, 2):
+        ingest.ingest_landed(spark, [(POS_SPEC, landed)], out, batch)
+    return out
+
+
+@query
+def ingest_curated(spark, d):
+    """The fact after the three runs: every key once, of the batch that brought it."""
+    out = _ingested(spark, d)
+    rows = ingest.visible(spark.read.parquet(f"{out}/curated/sales_transactions"), out)
+    return rows.select(
+        "transaction_id", "transaction_ts", "store_id", "sku", "quantity", "unit_price", "revenue", "currency",
+        "source_system", "source_file", F.col(ly.BATCH_ID).cast("int").alias("load_batch_id"),
+    )
+
+
+@query
+def ingest_layers(spark, d):
+    """Rows by layer and batch after the three runs."""
+    out = _ingested(spark, d)
+    raw = spark.read.parquet(f"{out}/raw/{POS_SPEC.name}").withColumn("layer", F.lit("raw"))
+    error = spark.read.parquet(f"{out}/error/dq_rejected_rows").withColumn("layer", F.concat(F.lit("error "), "dq_issue"))
+    csv = spark.read.csv(f"{out}/csv/sales_transactions", header=True).withColumn("layer", F.lit("csv"))
+    parts = [ingest.visible(raw, out, POS_SPEC.name), ingest.visible(error, out), ingest.visible(csv, out)]
+    counts = [p.groupBy("layer", F.col(ly.BATCH_ID).cast("int").alias("load_batch_id")).agg(F.count("*").alias("n")) for p in parts]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def ingest_audit(spark, d):
+    """The audit rows of the two batches."""
+    return ingest.committed(spark, _ingested(spark, d))
+
+
 # ---- projections, cleaning, predicates
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from datetime import timedelta
 from itertools import groupby
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallyhouse.operators.audit import load_batch_audit
@@ -22,8 +24,10 @@ from tallyhouse.operators.cleaning import (
     tidy_numbers,
 )
 from tallyhouse.operators.layers import (
+    BATCH_ID,
     dq_report_sink,
-    sink_csv,
+    read_or_empty,
+    sink_csv_batch,
     sink_curated_insert_ignore,
     sink_curated_overwrite,
     sink_error,
@@ -39,6 +43,15 @@ from tallyhouse.specs import LINEAGE, SHEET, FeedSpec
 
 # order of arrival: file, sheet, row
 ARRIVAL = "_arrival"
+#: One row per committed batch and feed.
+COMMITS = "audit/load_batch"
+BATCHES = T.StructType(
+    [T.StructField("load_batch_id", T.IntegerType()), T.StructField("load_type", T.StringType())]
+    + [T.StructField(n, T.LongType()) for n in ("rows_in", "attempted", "inserted", "deduped", "rejected", "repaired", "flagged", "late_arriving")]
+    + [T.StructField("feed", T.StringType())]
+)
+HOUSE_CURRENCY = "USD"
+LATE = timedelta(days=7)
 
 
 def target_types(spec: FeedSpec) -> dict[str, T.DataType]:
@@ -89,26 +102,108 @@ def write_curated(rows: DataFrame, spec: FeedSpec, path: str, batch_id: int | No
         sink_curated_overwrite(rows, path, spec.schema, batch_id, key=spec.target_key, **layout)
 
 
-def ingest_feed(
-    landed: DataFrame, spec: FeedSpec, out: str, batch_id: int | None, stamp: str, typing: str
-) -> DataFrame:
-    """One feed through all layers; returns its audit row. The verdicts are stored
-    once, and every later step reads that table."""
+def committed(spark: SparkSession, out: str) -> DataFrame:
+    """Feeds of batches whose load has come to its end, with their counters: a row is written
+    when all layers are, so it is what makes a load count."""
+    return read_or_empty(spark, f"{out}/{COMMITS}", BATCHES)
+
+
+def visible(rows: DataFrame, out: str, feed: str | None = None) -> DataFrame:
+    """Rows of a layer that committed loads have brought (``feed``: the layer of one feed).
+    What a broken load has left stays hidden until its batch is run again."""
+    done = committed(rows.sparkSession, out)
+    done = done.where(F.col("feed") == feed) if feed else done
+    if "feed" in rows.columns:
+        done = done.select(F.col("load_batch_id").alias("_b"), F.col("feed").alias("_f"))
+        return rows.join(done, (F.col(BATCH_ID) == F.col("_b")) & (F.col("feed") == F.col("_f")), "left_semi")
+    done = done.select(F.col("load_batch_id").alias("_b")).distinct()
+    return rows.join(done, F.col(BATCH_ID) == F.col("_b"), "left_semi")
+
+
+def _unknown(tagged: DataFrame, column: str, out: str, table: str, key: str) -> DataFrame:
+    """A flag on rows whose key the curated dimension lacks; none while it is not loaded."""
+    flag = f"_no_{key}"
+    spark = tagged.sparkSession
+    known = read_or_empty(spark, f"{out}/curated/{table}", T.StructType([T.StructField(key, T.StringType())]))
+    if known.isEmpty():
+        return tagged.withColumn(flag, F.lit(False))
+    known = known.select(F.col(key).alias("_known")).distinct()
+    found = tagged.join(known, F.col(column) == F.col("_known"), "left")
+    return found.withColumn(flag, F.col(column).isNotNull() & F.col("_known").isNull()).drop("_known")
+
+
+def audit_feed(tagged: DataFrame, spec: FeedSpec, out: str, batch_id: int) -> DataFrame:
+    """The counters of one feed: repaired where price or amount follows from the other, flagged
+    where a currency is not the house's or a key is in no dimension, late where a sale is
+    older than the newest of the batch by ``LATE``; inserted rows are counted in the target."""
+    source = {target: s for s, target in spec.mapping.items() if s in tagged.columns}
+    price, amount, time = (source.get(n) for n in ("unit_price", "revenue", "transaction_ts"))
+    false, spark = F.lit(False), tagged.sparkSession
+    marks = {"repaired": false, "flagged": false, "late_arriving": false}
+    if price and amount:
+        marks["repaired"] = F.col(price).isNull() != F.col(amount).isNull()
+    if "currency" in source:
+        marks["flagged"] = F.coalesce(F.col(source["currency"]) != HOUSE_CURRENCY, false)
+    for key, table in (("sku", "dim_product"), ("store_id", "dim_store")):
+        if key in source:
+            tagged = _unknown(tagged, source[key], out, table, key)
+            marks["flagged"] = marks["flagged"] | F.col(f"_no_{key}")
+    if time and isinstance(tagged.schema[time].dataType, T.TimestampNTZType):
+        newest = tagged.agg(F.max(time)).first()[0]
+        if newest is not None:
+            marks["late_arriving"] = F.coalesce(F.col(time) < F.lit(newest - LATE), false)
+    counted = load_batch_audit(tagged, F.lit(batch_id).cast("int"), spec.folder.upper(), F.lit(True), marks)
+    try:
+        own = spark.read.parquet(f"{out}/curated/{spec.table}").where(F.col(BATCH_ID) == batch_id)
+        for name, value in spec.literals.items():
+            own = own.where(F.col(name) == value) if value is not None and name in own.columns else own
+        inserted = own.count()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        inserted = 0
+    return counted.withColumns({"inserted": F.lit(inserted).cast("long"), "feed": F.lit(spec.name)})
+
+
+def ingest_feed(landed: DataFrame, spec: FeedSpec, out: str, batch_id: int, stamp: str, typing: str) -> None:
+    """One feed through all layers and its commit. The verdicts are stored once, and every later
+    step reads that table. Every layer is keyed by the batch, so that a load that broke off
+    and is run again replaces what it left."""
     spark = landed.sparkSession
     sink_raw(landed, f"{out}/raw/{spec.name}", spec.columns(), batch_id)
     tagged = materialize(spark, gate_feed(landed, spec, typing), f"gate-{spec.name}")
     rejected = rejected_rows(tagged)
     if not rejected.isEmpty():
-        sink_error(rejected, f"{out}/error/dq_rejected_rows", batch_id)
+        sink_error(rejected, f"{out}/error/dq_rejected_rows", batch_id, spec.name)
         dq_report_sink(rejected, f"{out}/reports", stamp)
     rows = curate(clean_rows(tagged), spec)
     if not rows.isEmpty():
         write_curated(rows, spec, f"{out}/curated/{spec.table}", batch_id)
-        sink_csv(align_to_schema(rows, spec.schema), f"{out}/csv/{spec.table}", spec.mode)
-    audit = load_batch_audit(
-        tagged, F.lit(batch_id).cast("int"), spec.folder.upper(), F.lit(True), {}
-    )
-    return audit.withColumn("feed", F.lit(spec.name))
+        sink_csv_batch(align_to_schema(rows, spec.schema), f"{out}/csv/{spec.table}", spec.name, batch_id, spec.mode != "append")
+    audit = align_to_schema(audit_feed(tagged, spec, out, batch_id), BATCHES)
+    audit.coalesce(1).write.mode("append").parquet(f"{out}/{COMMITS}")
+
+
+def ingest_landed(
+    spark: SparkSession,
+    landed: Iterable[tuple[FeedSpec, DataFrame]],
+    out: str,
+    batch_id: int | None = None,
+    stamp: str | None = None,
+    typing: str = "declared",
+) -> DataFrame:
+    """Landed rows of feeds, one after another, as one batch; returns the batch's audit rows.
+
+    Feeds that the batch has committed are passed over: running it again changes nothing.
+    Without a number the batch takes the next one.
+    """
+    if batch_id is None:
+        batch_id = (committed(spark, out).agg(F.max("load_batch_id")).first()[0] or 0) + 1
+    done = {r.feed for r in committed(spark, out).where(F.col("load_batch_id") == batch_id).select("feed").collect()}
+    for spec, rows in landed:
+        if spec.name not in done and not rows.isEmpty():
+            ingest_feed(rows, spec, out, batch_id, stamp or f"{batch_id:08d}_000000", typing)
+    return committed(spark, out).where(F.col("load_batch_id") == batch_id)
 
 
 def run_ingest(
@@ -118,7 +213,7 @@ def run_ingest(
     specs: Sequence[FeedSpec],
     mode: str = "all",
     batch_id: int | None = None,
-    stamp: str = "00000000_000000",
+    stamp: str | None = None,
     typing: str = "declared",
 ) -> DataFrame:
     """All feeds of the mode, in declared order; returns one audit row per feed.
@@ -127,22 +222,17 @@ def run_ingest(
     """
     chosen = select_feeds(specs, mode)
     found = {r["feed"] for r in discover_files(spark, root, chosen).select("feed").distinct().collect()}
-    audits: list[DataFrame] = []
-    for (folder, pattern), group in groupby(chosen, key=lambda s: (s.folder, s.pattern)):
-        feeds = [s for s in group if s.name in found]
-        if not feeds:
-            continue
-        grid = scan_workbooks(spark, f"{root}/{folder}", pattern)
-        grid = drop_ghost_sheets(materialize(spark, grid, "grid"))
-        routed = grid.withColumn("feed", route_sheet(F.col(SHEET), feeds))
-        for spec in feeds:
-            sheet = routed.filter(F.col("feed") == spec.name).drop("feed")
-            landed = materialize(spark, grid_to_table(sheet, spec.columns()), f"landed-{spec.name}")
-            if not landed.isEmpty():
-                audits.append(ingest_feed(landed, spec, out, batch_id, stamp, typing))
-    if not audits:
-        return spark.createDataFrame([], "load_batch_id int, load_type string, feed string")
-    audit = audits[0]
-    for a in audits[1:]:
-        audit = audit.unionByName(a)
-    return audit
+
+    def landed() -> Iterator[tuple[FeedSpec, DataFrame]]:
+        for (folder, pattern), group in groupby(chosen, key=lambda s: (s.folder, s.pattern)):
+            feeds = [s for s in group if s.name in found]
+            if not feeds:
+                continue
+            grid = scan_workbooks(spark, f"{root}/{folder}", pattern)
+            grid = drop_ghost_sheets(materialize(spark, grid, "grid"))
+            routed = grid.withColumn("feed", route_sheet(F.col(SHEET), feeds))
+            for spec in feeds:
+                sheet = routed.filter(F.col("feed") == spec.name).drop("feed")
+                yield spec, materialize(spark, grid_to_table(sheet, spec.columns()), f"landed-{spec.name}")
+
+    return ingest_landed(spark, landed(), out, batch_id, stamp, typing)

@@ -37,8 +37,9 @@ def scan_workbooks(
 
 
 def decode_workbooks(files: DataFrame) -> DataFrame:
-    """(path, content) -> grid rows. Row numbers count from 0 in each sheet."""
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    """(path, content) -> grid rows. Row numbers count from 0 in each sheet; a file is known
+    by its whole path, since folders may hold files of one name."""
+    named = files.select(F.col("path").alias("name"), "content")
     return named.mapInPandas(_decode, GRID)
 
 

@@ -55,7 +55,7 @@ def stream_incremental_ingest(
     """
     lines = read_drops(spark, src, schema, files_per_trigger).select(
         "*",
-        F.col("_metadata.file_name").alias(FILE),
+        F.col("_metadata.file_path").alias(FILE),
         F.lit(spec.sheet).alias(SHEET),
         F.col("_metadata.row_index").alias(ROW),
     )

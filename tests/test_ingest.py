@@ -6,8 +6,12 @@ from decimal import Decimal as D
 import pytest
 
 from tallyhouse.plans.catalogue import DROP, EVENT_SPEC
+from tallyhouse.operators.quality import dq_gate
+from tallyhouse.plans import ingest
 from tallyhouse.plans.ingest import run_ingest
+from tallyhouse.sources import workbooks as wb
 from tallyhouse.sources.files import discover_files
+from tallyhouse.sources.grids import drop_ghost_sheets, grid_to_table
 from tallyhouse.sources.tables import scan_curated
 from tallyhouse.specs import FEEDS, FeedSpec
 from tallyhouse.streaming.incremental import stream_incremental_ingest
@@ -85,6 +89,66 @@ def test_replay_changes_nothing(spark, loaded):
     assert curated(spark, out, "product_updates").count() == 2
 
 
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    (root / "incremental").mkdir(parents=True)
+    (root / "incremental/week1.xlsx").write_bytes(workbook({"Sales": POS, "orders": ONLINE}))
+    first = run_ingest(spark, str(root), out, FEEDS, "incremental", 5).collect()
+    layers = lambda: {
+        "raw": spark.read.parquet(f"{out}/raw/pos_batch").count(), "error": spark.read.parquet(f"{out}/error/dq_rejected_rows").count(),
+        "csv": spark.read.csv(f"{out}/csv/sales_transactions", header=True).count(), "curated": curated(spark, out).count(),
+        "reports": spark.read.csv(f"{out}/reports", header=True).count(), "audit": ingest.committed(spark, out).count(),
+    }
+    before = layers()
+    assert before == {"raw": 5, "error": 3, "csv": 4, "curated": 3, "reports": 3, "audit": 2}
+    assert sorted(run_ingest(spark, str(root), out, FEEDS, "incremental", 5).collect()) == sorted(first)
+    assert layers() == before
+    by_feed = {r.feed: r for r in first}
+    assert (by_feed["pos_batch"].inserted, by_feed["pos_batch"].repaired, by_feed["pos_batch"].flagged) == (2, 1, 1)
+    assert (by_feed["online_batch"].attempted, by_feed["online_batch"].inserted) == (2, 1)
+
+
+def test_a_broken_load_is_hidden_and_taken_up_again(spark, tmp_path, monkeypatch):
+    landed = spark.createDataFrame([(*POS[i], "/a/x.parquet", "Sales", i) for i in range(1, 6)],
+                                   "transaction_id string, ts string, store_id string, sku string, qty string, unit_price string, amount string, currency string, _source_file string, _sheet_name string, _row_idx long")
+    spec, out = next(s for s in FEEDS if s.name == "pos_batch"), str(tmp_path / "out")
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(ingest, "audit_feed", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        ingest.ingest_landed(spark, [(spec, landed)], out, 1)
+    monkeypatch.undo()
+    assert curated(spark, out).count() == 2 and ingest.visible(curated(spark, out), out).isEmpty()
+    audit = ingest.ingest_landed(spark, [(spec, landed)], out, 1).collect()
+    assert [(r.rows_in, r.attempted, r.inserted, r.rejected) for r in audit] == [(5, 2, 2, 3)]
+    raw = spark.read.parquet(f"{out}/raw/pos_batch")
+    assert raw.count() == 5 and ingest.visible(raw, out, "pos_batch").count() == 5
+    assert {(r._source_file, r._source_path) for r in raw.collect()} == {("x.parquet", "/a/x.parquet")}
+    assert ingest.visible(curated(spark, out), out).count() == 2
+    assert spark.read.parquet(f"{out}/error/dq_rejected_rows").count() == 3
+    # without a number the next one
+    assert [r.load_batch_id for r in ingest.ingest_landed(spark, [(spec, landed)], out).collect()] == [2]
+
+
+def test_files_of_one_name_are_two_files(spark, tmp_path):
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    for folder, n in (("a", 1), ("b", 2)):
+        (root / "incremental" / folder).mkdir(parents=True)
+        body = [POS[0], [f"N{n}", *POS[1][1:]], ["BOTH", *POS[1][1:]]]
+        (root / "incremental" / folder / "week.xlsx").write_bytes(workbook({"Sales": body}))
+    grid = wb.scan_workbooks(spark, f"{root}/incremental/*")
+    rows = grid_to_table(drop_ghost_sheets(grid), POS[0])
+    assert rows.count() == 4
+    tagged = dq_gate(rows, ["transaction_id"], {}).collect()
+    assert len(tagged) == 4 and all(r._dq_issue is None and r._dq_source_file == "week.xlsx" for r in tagged)
+    spec = next(s for s in FEEDS if s.name == "pos_batch")
+    audit = ingest.ingest_landed(spark, [(spec, rows)], out, 1).first()
+    assert (audit.rows_in, audit.attempted, audit.inserted) == (4, 4, 3)
+    assert {r["transaction_id"] for r in curated(spark, out).collect()} == {"N1", "N2", "BOTH"}
+
+
 def test_overwrite_replaces_only_its_channel(spark, tmp_path):
     root, out = tmp_path / "in", str(tmp_path / "out")
     (root / "historical").mkdir(parents=True)
@@ -94,6 +158,8 @@ def test_overwrite_replaces_only_its_channel(spark, tmp_path):
     (root / "historical/pos_history.xlsx").write_bytes(workbook({"S": POS[:2]}))
     run_ingest(spark, str(root), out, FEEDS, "historical", 2)
     assert {r["transaction_id"] for r in curated(spark, out).collect()} == {"T1", "O1"}
+    csv = spark.read.csv(f"{out}/csv/sales_transactions", header=True)
+    assert {r["transaction_id"] for r in csv.collect()} == {"T1", "O1"}
 
 
 def test_vote_typing(spark, tmp_path):

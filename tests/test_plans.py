@@ -1,14 +1,16 @@
 """Physical plans: what must hold when the tables are large."""
 
 import re
+from pathlib import Path
 
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from tallyhouse import testbed as t
-from tallyhouse.operators import keys, quality as dq, sales as sl
+from tallyhouse.operators import keys, layers as ly, quality as dq, sales as sl, scd
 from tallyhouse.plans.catalogue import END, QUERIES, START
+from tallyhouse.session import materialize
 from tallyhouse.specs import ROW
 
 
@@ -84,3 +86,46 @@ def test_forecast_groups_are_days_not_sales(spark):
     assert text.index("FlatMapGroupsInPandas") < text.index("series-")
     rows = QUERIES["training_frame"](spark, SF).groupBy("category", "region", "ds").count()
     assert rows.agg(F.max("count")).first()[0] == 1
+
+
+def test_insert_ignore_reads_the_buckets_of_the_batch(spark, tmp_path):
+    """The target's scan lists them as partition filters, and none but its key column."""
+    schema = spark.range(1).selectExpr("CAST(id AS STRING) AS k", "id AS v").schema
+    rows = lambda a, b: spark.range(a, b).selectExpr("CAST(id AS STRING) AS k", "id AS v", "id AS n")
+    path = f"{tmp_path}/t"
+    ly.sink_curated_insert_ignore(rows(0, 2000), path, schema, ["k"], 1, order="n")
+    target = ly.read_or_empty(spark, path, schema)
+    assert keys.bucket_column(target) == "_key_of_64"
+    batch = materialize(spark, rows(1998, 2002), "batch")
+    fresh = keys.antijoin(batch, target, ["k"])
+    wanted = keys.touched(keys.with_bucket(batch, ["k"], "_key_of_64"), "_key_of_64")
+    scan = next(line for line in plan(fresh).split("\n") if f"{tmp_path}" in line and "PartitionFilters" in line)
+    listed = re.search(r"_key_of_64#\d+ IN \(([\d,]+)\)", scan) or re.search(r"_key_of_64#\d+ INSET ([\d, ]+)", scan)
+    assert sorted(map(int, listed.group(1).split(","))) == wanted and len(wanted) <= 4
+    assert "ReadSchema: struct<k:string>" in scan
+    assert {r.k for r in fresh.collect()} == {"2000", "2001"}
+    for _ in range(2):
+        ly.sink_curated_insert_ignore(rows(1998, 2002), path, schema, ["k"], 2, order="n")
+    assert spark.read.parquet(path).count() == 2002
+
+
+def test_history_merge_leaves_other_buckets_alone(spark, tmp_path):
+    path = f"{tmp_path}/history"
+    dim = spark.range(300).selectExpr("CAST(id AS STRING) AS sku", "DATE'2023-01-01' AS launch_date", "'c' AS category", "'b' AS brand", "'p' AS package_size", "'1' AS list_price")
+    kinds = f"sku string, attribute string, new_value string, effective_date string, {ROW} long"
+    batch = lambda rows: spark.createDataFrame(rows, kinds).withColumn("effective_date", F.to_date("effective_date"))
+    one = batch([("7", "brand", "x", "2024-03-02", 0), ("7", "brand", "y", "2024-03-02", 1), ("9", "category", "k", "2024-05-01", 2)])
+    two = batch([("7", "list_price", "2", "2024-02-01", 3), ("7", "brand", "z", "2024-06-01", 4), ("400", "brand", "n", "2024-01-01", 5)])
+    scd.scd2_create(dim, path)
+    files = lambda: {str(f.relative_to(path)) for f in Path(path).rglob("*.parquet")}
+    before = files()
+    for updates in (one, two, two):
+        scd.scd2_merge(spark, path, updates)
+    assert order(scd.scd2_read(spark, path)) == order(scd.scd2_apply(dim, one.unionByName(two)))
+    changed = {f.split("/")[0] for f in before ^ files()}
+    skus = spark.createDataFrame([("7",), ("9",), ("400",)], "sku string")
+    assert changed == {f"_key_of_64={n}" for n in keys.touched(keys.with_bucket(skus, ["sku"], "_key_of_64"), "_key_of_64")}
+
+
+def order(df):
+    return sorted(map(str, df.collect()))
