@@ -14,9 +14,18 @@ from tallyhouse.llm.queries import WORD_TOKENIZER
 from tallyhouse.session import materialize
 
 
+#: Texts go to Python in batches of so many bytes; a number of rows alone bounds no memory.
+BATCH = "4m"
+
+
+def _in_bytes(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language. Those that the model rejects go: texts that are null
     or without a letter, and those far from every centroid."""
+    _in_bytes(spark)
     model = language.fit(docs)
     return docs.where(language.accepted(model, F.col("text")))
 
@@ -24,12 +33,14 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one. Those that are line for line what
     another one keeps are left for the next stage, which takes them whole."""
+    _in_bytes(spark)
     return lines.without_repeats(spark, docs)
 
 
 def copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest id. Rows that
     repeat it whole stay with it once; rows without an id stay if no other of the group has one."""
+    _in_bytes(spark)
     found = neardup.near_duplicates(spark, docs)
     kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "text_hash").distinct()
     kept = kept.toDF("kept_id", "kept_hash")
@@ -43,11 +54,13 @@ def copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of sources takes it."""
+    _in_bytes(spark)
     return mixing.mixed_rows(spark, docs)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in training sequences."""
+    _in_bytes(spark)
     return packing.pack(spark, docs, WORD_TOKENIZER)
 
 
