@@ -82,8 +82,8 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.line_classes(spark, _table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "line_no", "n_links", "class_doc_id", "class_line_no", "kept")
+    found = lines.line_classes(spark, _table(spark, sf_dir, "documents"), all_lines=True, count_links=False)
+    return found.select("doc_id", "line_no", "n_bytes", "class_doc_id", "class_line_no", "kept")
 
 
 @query

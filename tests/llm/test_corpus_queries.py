@@ -96,10 +96,21 @@ def test_nearest(spark, duck):
 
 
 def test_lines(spark, docs):
-    want = line_classes([(d, t) for d, t, _, _ in docs], lines.EDITS, lines.SHORTEST)
-    rows = answer(spark, "op7_line_dedup")
+    texts = [(d, t) for d, t, _, _ in docs]
+    want = line_classes(texts, lines.EDITS, lines.SHORTEST)
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    rows = lines.line_classes(spark, table).collect()
     assert {(r.doc_id, r.line_no): (r.n_links, (r.class_doc_id, r.class_line_no)) for r in rows} == want
     assert len(rows) == len(want)
+    # the query looks at every line that is not empty, shorter ones by equality, and at the links that join a class
+    seen = {}
+    for d, t in sorted(texts):
+        for k, line in enumerate((t or "").split("\n")):
+            if (line := line.strip(" \t\r\x0b\x0c")) and (d, k) not in want:
+                want[d, k] = (0, seen.setdefault(line, (d, k)))
+    rows = answer(spark, "op7_line_dedup")
+    assert {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in rows} == {p: head for p, (_, head) in want.items()}
+    assert len(rows) == len(want)
     assert all(r.kept == ((r.doc_id, r.line_no) == (r.class_doc_id, r.class_line_no)) for r in rows)
 
 

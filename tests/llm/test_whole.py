@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallyhouse.llm import language, lines, neardup, toxicity
+from tallyhouse.session import materialize
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -125,3 +126,44 @@ def test_mass_is_repetition():
     again = np.repeat(np.arange(20), mass)
     want = toxicity.fit_classifier([rows[i] for i in again], target[again], 9)
     assert np.allclose(toxicity.fit_classifier(rows, target, 9, mass=mass.astype(float)), want)
+
+
+def _edited(rng, line, edits):
+    for _ in range(edits):
+        at, what = rng.randrange(len(line)), rng.randrange(3)
+        line = line[:at] + ("" if what == 0 else rng.choice("abcdefgh")) + line[at + (what < 2) :]
+    return line
+
+
+def test_line_classes_without_all_pairs(spark):
+    rng = random.Random(5)
+    texts = []
+    for size, edits in ((60, 1), (60, 2), (60, 3), (40, 5)):  # with three edits and more a list falls into open parts
+        seed = "".join(rng.choice("abcdefgh ") for _ in range(45)).strip() + "x"
+        texts += [_edited(rng, seed, rng.randint(0, edits)) for _ in range(size)]
+    rng.shuffle(texts)
+    rows = [(i, "\n".join(texts[i : i + 4])) for i in range(0, len(texts), 4)]
+    want = line_classes(rows, lines.EDITS, lines.SHORTEST)
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    for counted in (True, False):
+        found = lines.line_classes(spark, table, count_links=counted).collect()
+        assert {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no) for r in found} == {p: h for p, (_, h) in want.items()}
+        if counted:
+            assert {(r.doc_id, r.line_no): r.n_links for r in found} == {p: n for p, (n, _) in want.items()}
+
+
+def test_a_family_of_lines_makes_few_links(spark, monkeypatch):
+    seed, rng = "the same notice stands below a great many of these documents, with one sign changed", random.Random(7)
+    texts = sorted({_edited(rng, seed, 1) for _ in range(20_000)} | {seed})
+    made = {}
+
+    def watched(session, df, name):
+        out = materialize(session, df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "materialize", watched)
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = lines.line_classes(spark, table, count_links=False)
+    assert {r.class_doc_id for r in found.select("class_doc_id").distinct().collect()} == {0}
+    assert made["line-pairs"] <= 4 * len(texts)
