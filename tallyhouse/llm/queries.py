@@ -95,8 +95,8 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "id-files")
-    by_rank = idfiles.write_ids(spark, _table(spark, sf_dir, "documents"), path, BYTE_TOKENIZER)
-    return idfiles.read_checksums(spark, path, by_rank)
+    idfiles.write_ids(spark, _table(spark, sf_dir, "documents"), path, BYTE_TOKENIZER)
+    return idfiles.read_checksums(spark, path)
 
 
 @query

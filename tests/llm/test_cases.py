@@ -264,6 +264,16 @@ def test_id_files(spark, odd, empty):
     assert idfiles.read_checksums(spark, path, idfiles.write_ids(spark, empty, path, BYTE_TOKENIZER)).count() == 0
 
 
+def test_id_files_of_one_id(spark):
+    rows = spark.range(8000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one text under one id").alias("text")).repartition(4)
+    path = scratch(spark, "id-files")
+    idfiles.write_ids(spark, rows, path, BYTE_TOKENIZER)
+    assert spark.read.parquet(f"{path}/files").select("part").distinct().count() > 1
+    found = idfiles.read_ids(spark, path).orderBy("start").collect()  # the ranks from beside the files
+    want = Tokenizer.from_file(BYTE_TOKENIZER).encode("one text under one id", add_special_tokens=False).ids + [2]
+    assert len(found) == 8000 and all(r.ids == want and r.start == k * len(want) for k, r in enumerate(found))
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_are_those_of_the_library(name):
     rng = random.Random(7)
