@@ -67,7 +67,7 @@ def write_ids(
     kind = docs.schema[id_col].dataType
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = pa.field("doc_id", to_arrow_type(kind))
-    encoded = pa.schema([key, ("text_hash", pa.int64()), ("row", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
+    encoded = pa.schema([key, ("text_hash", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each row's ids; behind a task's rows one without ids, with how often it met each id."""
@@ -79,15 +79,17 @@ def write_ids(
             total[: len(n)] += n
             numbers = pa.array(np.arange(row, row + len(held)))
             row += len(held)
-            ids = pa.array([x.tobytes() for x in held], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(key.type), batch.column(1), numbers, ids, pa.nulls(len(held), pa.binary())], schema=encoded)
-        last = [pa.array([x], f.type) for x, f in zip((None, None, None, None, total.tobytes()), encoded, strict=True)]
+            sizes = pa.array([len(x) for x in held], pa.int64())
+            # two bytes an id in rows where each fits
+            ids = pa.array([(x.astype("<u2") if x.max() < 1 << 16 else x).tobytes() for x in held], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(key.type), batch.column(1), numbers, sizes, ids, pa.nulls(len(held), pa.binary())], schema=encoded)
+        last = [pa.array([x], f.type) for x, f in zip((None, None, None, None, None, total.tobytes()), encoded, strict=True)]
         yield pa.RecordBatch.from_arrays(last, schema=encoded)
 
     text = F.col(text_col).cast("string")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     stored = scratch(spark, "ids")
-    ddl = f"doc_id {kind.simpleString()}, text_hash long, row long, ids binary, counts binary"
+    ddl = f"doc_id {kind.simpleString()}, text_hash long, row long, n long, ids binary, counts binary"
     texts.mapInArrow(coded, ddl).write.option("compression", "zstd").parquet(stored)
     table = spark.read.parquet(stored)
 
@@ -121,27 +123,27 @@ def write_ids(
         keys, held, sizes = [], [], []
 
         def written() -> pa.RecordBatch:
-            row = (part, number, ahead, keys, sizes, *pack_values(rank[np.frombuffer(b"".join(held), dtype="<u4")]))
+            row = (part, number, ahead, keys, sizes, *pack_values(rank[np.concatenate(held)]))
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, file, strict=True)], schema=file)
 
         size = 0
         for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if held and size + len(raw) // 4 > FILE_IDS:
+            for name, n, raw in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if held and size + n > FILE_IDS:
                     yield written()
                     number, ahead = number + 1, ahead + size
                     keys, held, sizes, size = [], [], [], 0
                 keys.append(name)
-                held.append(raw)
-                sizes.append(len(raw) // 4)
-                size += sizes[-1]
+                held.append(np.frombuffer(raw, dtype="<u2" if len(raw) == 2 * n else "<u4"))
+                sizes.append(n)
+                size += n
         if held:
             yield written()
 
     order = ["doc_id", "text_hash", "row"]
-    ordered = table.where("ids IS NOT NULL").select(*order, "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ordered = table.where("ids IS NOT NULL").select(*order, "n", "ids").repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ddl = f"part int, number int, ahead long, doc_ids array<{kind.simpleString()}>, sizes array<long>, control binary, data binary"
-    ordered.select("doc_id", "ids").mapInArrow(files, ddl).write.parquet(f"{path}/files")
+    ordered.select("doc_id", "n", "ids").mapInArrow(files, ddl).write.parquet(f"{path}/files")
     return by_rank
 
 
