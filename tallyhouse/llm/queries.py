@@ -67,7 +67,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.licences(_table(spark, sf_dir, "documents"))
+    return licences.summary(licences.licences(_table(spark, sf_dir, "documents")))
 
 
 @query
@@ -131,20 +131,23 @@ def _licence_sql() -> str:
         f", list_filter(range(len(w)), lambda i: {' AND '.join(f'w[i + {j}] = {quoted(x)}' for j, x in enumerate(p.split(), 1))}) AS p{k}"
         for k, (p, _) in enumerate(licences.PHRASES)
     )
-    sets = ", ".join(f"([{', '.join(quoted(x) for x in sorted(set(t.split())))}], {quoted(label)})" for t, label in licences.TEMPLATES)
+    templates = ", ".join(
+        f"({k}, [{', '.join(quoted(x) for x in sorted(set(t.split())))}], {licences.needed(t)}, {licences.width(t)}, {quoted(label)})"
+        for k, (t, label) in enumerate(licences.TEMPLATES)
+    )
     at = "list_concat(list_concat(p0, p1), p2)"
     base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN {quoted(label)} END" for k, (_, label) in enumerate(licences.PHRASES))
     return f"""
-    WITH t(words, label) AS (VALUES {sets}),
+    WITH t(k, words, need, width, label) AS (VALUES {templates}),
     low AS (SELECT row_number() OVER () AS row, doc_id,
                    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS s FROM documents),
     found AS (SELECT row, doc_id, s, regexp_extract_all(s, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM low),
     base AS (SELECT row, doc_id, len(w) AS n_words {places} FROM found),
-    lines AS (SELECT row, line, list_distinct(regexp_extract_all(block, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS own
-              FROM (SELECT row, unnest(string_split(s, chr(10))) AS block, generate_subscripts(string_split(s, chr(10)), 1) AS line FROM low)),
-    met AS (SELECT row, line, label, len(list_intersect(own, words)) AS common, len(words) AS n FROM lines, t WHERE len(own) > 0),
-    held AS (SELECT row, list(DISTINCT label) AS labels, max(common / n) AS best, count(DISTINCT line) AS n_blocks
-             FROM met WHERE common >= ceil(round({licences.CONTAINMENT} * n, 9)) GROUP BY row),
+    spots AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM found),
+    own AS (SELECT row, k, i, word, need, width, label, n FROM spots JOIN (SELECT *, len(words) AS n, unnest(words) AS word FROM t) USING (word)),
+    met AS (SELECT a.row, a.k, a.i, a.label, a.n, a.need, count(DISTINCT b.word) AS common FROM own a, own b
+            WHERE a.row = b.row AND a.k = b.k AND b.i >= a.i AND b.i < a.i + a.width GROUP BY ALL),
+    held AS (SELECT row, list(DISTINCT label) AS labels, max(common / n) AS best, count(*) AS n_blocks FROM met WHERE common >= need GROUP BY row),
     named AS (SELECT *, list_filter([{base}], lambda x: x IS NOT NULL) AS own, {at} AS spots FROM base LEFT JOIN held USING (row))
     SELECT doc_id, n_words, len(spots) AS n_base, list_min(spots) AS first_word, list_max(spots) AS last_word,
            array_to_string(list_sort(list_distinct(own)), ',') AS base_labels,

@@ -145,11 +145,54 @@ def test_plan_fits_and_leaves_none_out():
 
 
 def test_licences(odd, empty):
-    rows = {r.doc_id: r for r in licences.licences(odd).collect()}
+    rows = {r.doc_id: r for r in licences.summary(licences.licences(odd)).collect()}
     assert (rows[1].n_base, rows[1].first_word, rows[1].base_labels, rows[1].score) == (1, 1, "mit", 1.0)
     assert (rows[10].n_base, rows[10].first_word, rows[10].last_word, rows[10].labels) == (2, 2, 7, "cc-by-nc")
     assert (rows[2].n_words, rows[2].n_base, rows[2].first_word, rows[2].labels, rows[2].score) == (0, 0, None, "", 0.0)
-    assert licences.licences(empty).count() == 0
+    assert licences.summary(licences.licences(empty)).count() == 0
+
+
+def test_licence_notices_are_found_however_lines_end(spark):
+    notice = dict((label, text) for text, label in licences.TEMPLATES)
+    soup = [f"w{i}" for i in range(6000)]
+    soup[10], soup[3000], soup[5900] = "all", "rights", "reserved"
+    texts = {
+        1: "Text before.\n" + notice["gpl"].replace(" ", "\n"),  # a word a line
+        2: notice["mit"][:40],  # a part only
+        3: " ".join(soup),  # all words of a template, far apart
+        4: "All (c) rights reserved",  # a word between
+        5: "all one two rights reserved",  # two words between
+        6: " ".join([*soup[:9], "this is free and unencumbered software\r\n * released in the public domain", *soup[20:40]]),
+        7: "\n".join([notice["bsd"]] * 500),
+    }
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {r.doc_id: r for r in licences.licences(docs).collect()}
+    labels = {i: {b.label for b in r.blocks} for i, r in found.items()}
+    assert labels == {1: {"gpl"}, 2: set(), 3: set(), 4: {"proprietary"}, 5: set(), 6: {"unlicense"}, 7: {"bsd"}}
+    assert [(b.first_word, b.score) for b in found[6].blocks][:1] == [(9, 10 / 11)]
+    assert len(found[7].blocks) >= 500
+
+
+def test_licence_blocks_equal_brute_force(spark):
+    rng = np.random.default_rng(11)
+    templates = (("a b c d e f g h i j", "ten"), ("a b a c", "twice"), ("x y", "pair"), ("z", "one"), ("a x n1 n2 n3 a2 a3 a4", "rare"))
+    words = np.array([*"abcdefghijxyz", "n1", "n2", "n3", "a2", "a3", "a4", "else", "other"])
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 90)))) for _ in range(60)]
+    texts += [" ".join(rng.permutation("a b c d e f g h i j".split())) + " " + " ".join(rng.choice(words, 8)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for containment, spread in ((0.9, 1.25), (0.6, 1.0), (0.5, 2.0)):
+        expected = set()
+        for i, text in enumerate(texts):
+            seen = text.split()
+            for template, label in templates:
+                own = {*template.split()}
+                for start, w in enumerate(seen):
+                    common = len(own & {*seen[start : start + licences.width(template, spread)]})
+                    if w in own and common >= licences.needed(template, containment):
+                        expected.add((i, label, start, round(common / len(own), 9)))
+        rows = licences.licences(docs, templates=templates, containment=containment, spread=spread).collect()
+        got = [(r.doc_id, b.label, b.first_word, round(b.score, 9)) for r in rows for b in r.blocks]
+        assert len(got) == len(set(got)) and set(got) == expected and expected
 
 
 def _vectors(spark):
