@@ -194,8 +194,10 @@ VIEWS: dict[str, str] = {
           WHERE issue IS NULL AND unit_price IS NULL AND amount IS NOT NULL
         UNION ALL SELECT *, 'NULL_AMOUNT', 'amount', NULL, 'REPAIRED' FROM v_gate
           WHERE issue IS NULL AND amount IS NULL AND unit_price IS NOT NULL
-        UNION ALL SELECT *, 'UNKNOWN_STORE_ID', 'store_id', store_id, 'FLAGGED' FROM v_gate WHERE issue IS NULL AND store_id = 'STORE999'
-        UNION ALL SELECT *, 'UNKNOWN_SKU', 'sku', sku, 'FLAGGED' FROM v_gate WHERE issue IS NULL AND sku = 'SKU999'
+        UNION ALL SELECT *, 'UNKNOWN_STORE_ID', 'store_id', store_id, 'FLAGGED' FROM v_gate WHERE issue IS NULL
+          AND store_id IS NOT NULL AND store_id NOT IN (SELECT store_id FROM v_stores)
+        UNION ALL SELECT *, 'UNKNOWN_SKU', 'sku', sku, 'FLAGGED' FROM v_gate WHERE issue IS NULL
+          AND sku IS NOT NULL AND sku NOT IN (SELECT sku FROM v_products)
         UNION ALL SELECT *, 'EUR_CURRENCY', 'currency', currency, 'FLAGGED' FROM v_gate WHERE issue IS NULL AND currency = 'EUR')""",
     "v_known": """SELECT DISTINCT l_orderkey || '-' || l_linenumber AS transaction_id FROM lineitem
         WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""",
@@ -205,7 +207,8 @@ VIEWS: dict[str, str] = {
         COUNT(*) FILTER (issue IN ('DUPLICATE_ROW', 'PK_DUPLICATE')) AS deduped,
         COUNT(*) FILTER (issue IS NOT NULL) AS rejected,
         COUNT(*) FILTER (issue IS NULL AND (unit_price IS NULL) <> (amount IS NULL)) AS repaired,
-        COUNT(*) FILTER (issue IS NULL AND (store_id = 'STORE999' OR sku = 'SKU999')) AS flagged,
+        COUNT(*) FILTER (issue IS NULL AND (store_id NOT IN (SELECT store_id FROM v_stores)
+          OR sku NOT IN (SELECT sku FROM v_products))) AS flagged,
         COUNT(*) FILTER (issue IS NULL AND """
     + _any_format("ts")
     + """ < TIMESTAMP '1996-01-01') AS late_arriving
@@ -535,8 +538,11 @@ BODIES: dict[str, str] = {
         CAST(user_id AS VARCHAR) AS store_id, event_type AS sku, CAST(CAST(value AS DECIMAL(12,2)) AS DECIMAL(14,4)) AS revenue,
         'EVENTS' AS source_system FROM events WHERE CAST(value AS DECIMAL(12,2)) > 0""",
     "stream_dedup": f"SELECT event_id, category, region, value FROM ({EVENT_ROWS})",
-    "stream_late_flag": """SELECT event_id, CAST(ts AS DATE) + CASE WHEN event_id % 7 = 0 THEN 3 ELSE 0 END AS arrived,
-        event_id % 7 = 0 AS is_late_arriving FROM events""",
+    "stream_late_flag": """SELECT event_id, arrived, coalesce(ts < newest - INTERVAL 2 DAY, false) AS is_late_arriving FROM (
+        SELECT event_id, ts, CAST(ts AS DATE) + CASE WHEN event_id % 7 = 0 THEN 3 ELSE 0 END AS arrived,
+          date_diff('day', DATE '2024-01-01', arrived) // 11 AS part FROM events) LEFT JOIN (
+        SELECT k AS part, max(ts) AS newest FROM events, range(1, 3) AS r(k)
+        WHERE date_diff('day', DATE '2024-01-01', CAST(ts AS DATE) + CASE WHEN event_id % 7 = 0 THEN 3 ELSE 0 END) // 11 < k GROUP BY k) USING (part)""",
     "stream_daily_revenue": f"""SELECT CAST(ts AS DATE) AS ds, category, region, CAST(SUM(value) AS DECIMAL(18,2)) AS revenue, COUNT(*) AS n
         FROM ({EVENT_ROWS}) GROUP BY 1, 2, 3""",
 }

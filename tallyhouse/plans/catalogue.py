@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -131,14 +131,23 @@ def _stored_tagged(spark, d) -> DataFrame:
     return materialize(spark, _tagged(spark, d), "tagged")
 
 
+def _looked_up(spark, d) -> DataFrame:
+    """The gate's rows with flags on keys that the dimensions lack."""
+    lookups = {
+        "no_store": ("store_id", t.stores(spark, d), "store_id"),
+        "no_sku": ("sku", t.products(spark, d), "sku"),
+    }
+    return audit.unknown_keys(_stored_tagged(spark, d), lookups)
+
+
 def _quality_log(tagged: DataFrame) -> DataFrame:
     repairs = {
         "NULL_UNIT_PRICE": (F.col("unit_price").isNull() & F.col("amount").isNotNull(), "unit_price"),
         "NULL_AMOUNT": (F.col("amount").isNull() & F.col("unit_price").isNotNull(), "amount"),
     }
     flags = {
-        "UNKNOWN_STORE_ID": (F.col("store_id") == "STORE999", "store_id"),
-        "UNKNOWN_SKU": (F.col("sku") == "SKU999", "sku"),
+        "UNKNOWN_STORE_ID": (F.col("no_store"), "store_id"),
+        "UNKNOWN_SKU": (F.col("no_sku"), "sku"),
         "EUR_CURRENCY": (F.col("currency") == "EUR", "currency"),
     }
     batch = (F.length("store_id") + 100).cast("int")
@@ -151,7 +160,7 @@ def _batches(spark, d, verdicts: DataFrame) -> DataFrame:
     tagged = verdicts.join(known, "transaction_id", "left")
     marks = {
         "repaired": F.col("unit_price").isNull() != F.col("amount").isNull(),
-        "flagged": (F.col("store_id") == "STORE999") | (F.col("sku") == "SKU999"),
+        "flagged": F.col("no_store") | F.col("no_sku"),
         "late_arriving": to_timestamp_any(F.col("ts")) < F.lit("1996-01-01").cast("timestamp_ntz"),
     }
     batch = (F.length("store_id") + 100).cast("int")
@@ -710,17 +719,17 @@ def series_profile(spark, d):
 
 @query
 def quality_by_issue(spark, d):
-    return audit.quality_by_issue(_quality_log(_tagged(spark, d)))
+    return audit.quality_by_issue(_quality_log(_looked_up(spark, d)))
 
 
 @query
 def quality_by_action(spark, d):
-    return audit.quality_by_action(_quality_log(_tagged(spark, d)))
+    return audit.quality_by_action(_quality_log(_looked_up(spark, d)))
 
 
 @query
 def quality_summary(spark, d):
-    tagged = _stored_tagged(spark, d)
+    tagged = _looked_up(spark, d)
     return audit.quality_summary(_quality_log(tagged), _batches(spark, d, tagged))
 
 
@@ -759,7 +768,7 @@ def latest_run(spark, d):
 
 @query
 def latest_batch(spark, d):
-    return audit.latest_batch(_batches(spark, d, _tagged(spark, d)))
+    return audit.latest_batch(_batches(spark, d, _looked_up(spark, d)))
 
 
 @query
@@ -814,7 +823,7 @@ def unify_channels(spark, d):
 @query
 def bounded_context(spark, d):
     cube = materialize(spark, sl.revenue_cube(_enriched(spark, d)), "cube")
-    tagged = _stored_tagged(spark, d)
+    tagged = _looked_up(spark, d)
     batches = _batches(spark, d, tagged)
     return context.bounded_context(cube, _quality_log(tagged), batches, t.forecasts(spark, d))
 
@@ -973,12 +982,12 @@ def currency_normalize(spark, d):
 
 @query
 def quality_log_build(spark, d):
-    return _quality_log(_tagged(spark, d))
+    return _quality_log(_looked_up(spark, d))
 
 
 @query
 def load_batch_audit(spark, d):
-    return _batches(spark, d, _tagged(spark, d))
+    return _batches(spark, d, _looked_up(spark, d))
 
 
 # ---- streaming
@@ -1066,9 +1075,14 @@ def stream_dedup(spark, d):
 
 @query
 def stream_late_flag(spark, d):
-    stream = st.read_drops(spark, f"{_drops(spark, _events(spark, d))}/first", EVENT)
-    flagged = st.stream_late_flag(stream, F.date_sub("arrived", 2).cast("timestamp"), "ts")
-    return _file_sink(spark, flagged, "late").select("event_id", "arrived", "is_late_arriving")
+    # three drops of eleven days of arrival, the stream stopped after each
+    src, out = scratch(spark, "late-drops"), scratch(spark, "late")
+    rows = _events(spark, d).withColumn("drop", F.datediff("arrived", F.lit(date(2024, 1, 1))) / 11)
+    for k in range(3):
+        rows.where(F.floor("drop") == k).drop("drop").write.parquet(f"{src}/{k}")
+        stream = st.read_drops(spark, src, EVENT, files_per_trigger=1_000_000)
+        st.stream_late_flag(stream, "ts", timedelta(days=2), out)
+    return spark.read.parquet(f"{out}/rows").select("event_id", "arrived", "is_late_arriving")
 
 
 @query

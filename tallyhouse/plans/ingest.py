@@ -9,7 +9,7 @@ from itertools import groupby
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from tallyhouse.operators.audit import load_batch_audit
+from tallyhouse.operators.audit import load_batch_audit, unknown_keys
 from tallyhouse.operators.cleaning import (
     align_to_schema,
     clean_text,
@@ -120,16 +120,15 @@ def visible(rows: DataFrame, out: str, feed: str | None = None) -> DataFrame:
     return rows.join(done, F.col(BATCH_ID) == F.col("_b"), "left_semi")
 
 
-def _unknown(tagged: DataFrame, column: str, out: str, table: str, key: str) -> DataFrame:
-    """A flag on rows whose key the curated dimension lacks; none while it is not loaded."""
-    flag = f"_no_{key}"
-    spark = tagged.sparkSession
-    known = read_or_empty(spark, f"{out}/curated/{table}", T.StructType([T.StructField(key, T.StringType())]))
-    if known.isEmpty():
-        return tagged.withColumn(flag, F.lit(False))
-    known = known.select(F.col(key).alias("_known")).distinct()
-    found = tagged.join(known, F.col(column) == F.col("_known"), "left")
-    return found.withColumn(flag, F.col(column).isNotNull() & F.col("_known").isNull()).drop("_known")
+def _lookups(spark: SparkSession, source: dict[str, str], out: str) -> dict[str, tuple]:
+    """The curated dimensions that a feed's keys are looked up in; none while one is not loaded."""
+    found = {}
+    for key, table in (("sku", "dim_product"), ("store_id", "dim_store")):
+        if key in source:
+            known = read_or_empty(spark, f"{out}/curated/{table}", T.StructType([T.StructField(key, T.StringType())]))
+            if not known.isEmpty():
+                found[f"_no_{key}"] = (source[key], known, key)
+    return found
 
 
 def audit_feed(tagged: DataFrame, spec: FeedSpec, out: str, batch_id: int) -> DataFrame:
@@ -144,10 +143,11 @@ def audit_feed(tagged: DataFrame, spec: FeedSpec, out: str, batch_id: int) -> Da
         marks["repaired"] = F.col(price).isNull() != F.col(amount).isNull()
     if "currency" in source:
         marks["flagged"] = F.coalesce(F.col(source["currency"]) != HOUSE_CURRENCY, false)
-    for key, table in (("sku", "dim_product"), ("store_id", "dim_store")):
-        if key in source:
-            tagged = _unknown(tagged, source[key], out, table, key)
-            marks["flagged"] = marks["flagged"] | F.col(f"_no_{key}")
+    lookups = _lookups(spark, source, out)
+    if lookups:
+        tagged = unknown_keys(tagged, lookups)
+    for flag in lookups:
+        marks["flagged"] = marks["flagged"] | F.col(flag)
     if time and isinstance(tagged.schema[time].dataType, T.TimestampNTZType):
         newest = tagged.agg(F.max(time)).first()[0]
         if newest is not None:

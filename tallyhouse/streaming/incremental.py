@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tallyhouse.functions.columns import MONEY_OUT
 from tallyhouse.operators.layers import error_rows, sink_curated_insert_ignore
 from tallyhouse.operators.quality import clean_rows, rejected_rows
-from tallyhouse.operators.sales import late_arriving_flag
 from tallyhouse.plans.ingest import ARRIVAL, curate, gate_feed
 from tallyhouse.session import materialize
 from tallyhouse.specs import FILE, ROW, SHEET, FeedSpec
@@ -95,9 +95,30 @@ def stream_dedup(
     return marked.dropDuplicatesWithinWatermark(list(key))
 
 
-def stream_late_flag(stream: DataFrame, bound: Column, ts: str) -> DataFrame:
-    """Late rows flagged against the bound of their drop; keeps no state."""
-    return late_arriving_flag(stream, bound, ts)
+def stream_late_flag(stream: DataFrame, ts: str, lateness: timedelta, out: str) -> None:
+    """Rows older than the newest one of all batches before theirs by more than ``lateness``
+    are flagged; flagged rows land in ``out/rows``, a folder per batch.
+
+    The newest event time is one number that each batch takes from the batch before and
+    leaves to the next in ``out/newest``, so that it outlives a restart; a batch run again
+    reads the same number and replaces its own folders. The first batch flags nothing, a NULL
+    time is not late, and a time ahead of the clock does not move the bound. The checkpoint
+    is in ``out`` too: batch numbers and folders belong together.
+    """
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+
+    def flag(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        newest = spark.read.parquet(f"{out}/newest/batch={batch_id - 1}").first()[0] if batch_id else None
+        late = F.lit(False) if newest is None else micros < F.lit(newest - lateness // timedelta(microseconds=1))
+        landed = f"{out}/rows/batch={batch_id}"
+        batch.withColumn("is_late_arriving", F.coalesce(late, F.lit(False))).write.mode("overwrite").parquet(landed)
+        past = F.when(micros <= F.unix_micros(F.current_timestamp()), micros)
+        # greatest() passes over a missing side: no bound yet, or no time in the batch
+        top = spark.read.parquet(landed).agg(F.greatest(F.max(past), F.lit(newest).cast("long")).alias("newest"))
+        top.write.mode("overwrite").parquet(f"{out}/newest/batch={batch_id}")
+
+    each_batch(stream, f"{out}/checkpoint", flag)
 
 
 def stream_daily_revenue(stream: DataFrame, ts: str, value: str, by: Sequence[str], delay: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """Workbooks through all layers, replays, and the streaming path."""
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from decimal import Decimal as D
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallyhouse.plans.catalogue import DROP, EVENT_SPEC
 from tallyhouse.operators.quality import dq_gate
@@ -14,7 +15,7 @@ from tallyhouse.sources.files import discover_files
 from tallyhouse.sources.grids import drop_ghost_sheets, grid_to_table
 from tallyhouse.sources.tables import scan_curated
 from tallyhouse.specs import FEEDS, FeedSpec
-from tallyhouse.streaming.incremental import stream_incremental_ingest
+from tallyhouse.streaming.incremental import read_drops, stream_incremental_ingest, stream_late_flag
 from tallyhouse.testbed import workbook
 
 POS = [["transaction_id", "ts", "store_id", "sku", "qty", "unit_price", "amount", "currency"],
@@ -199,3 +200,21 @@ def test_stream_replay_and_rejects(spark, tmp_path):
     stream_incremental_ingest(*args, f"{out}/ck2")
     got = curated(spark, out).collect()
     assert [(r["transaction_id"], r["revenue"], r["sku"]) for r in got] == [("1", D("2.5"), "view")]
+
+
+def test_lateness_follows_from_the_stream_and_outlives_a_restart(spark, tmp_path):
+    src, out = f"{tmp_path}/drops", f"{tmp_path}/out"
+    drops = [
+        [(1, "2024-01-10 00:00:00"), (2, "2024-01-01 00:00:00"), (3, "9999-01-01 00:00:00")],  # nothing before: none late
+        [(4, "2024-01-07 23:59:59"), (5, "2024-01-08 00:00:00"), (6, None), (7, "2024-01-20 00:00:00")],
+        [(8, None)],  # no time: the bound stays
+        [(9, "2024-01-17 00:00:00"), (10, "2024-01-19 00:00:00"), (11, "2024-02-01 00:00:00")],
+    ]
+    for k, drop in enumerate(drops):
+        rows = spark.createDataFrame([(i, t, "x") for i, t in drop], "id int, ts string, batch_note string")
+        rows.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{src}/{k}")
+        for _ in range(2):  # stopped and started again; the second time nothing is new
+            stream_late_flag(read_drops(spark, src, rows.withColumn("ts", F.col("ts").cast("timestamp")).schema), "ts", timedelta(days=2), out)
+    flagged = spark.read.parquet(f"{out}/rows")
+    assert {r["id"] for r in flagged.where("is_late_arriving").collect()} == {4, 9}
+    assert flagged.count() == 11 and flagged.where("is_late_arriving IS NULL").isEmpty()

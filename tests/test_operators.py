@@ -408,3 +408,17 @@ def test_currency_without_a_rate_is_flagged(spark):
     rates = spark.createDataFrame([("EUR", 1.5)], "currency string, rate double")
     got = {r.currency: (r.revenue_usd and float(r.revenue_usd), r.currency_action) for r in sl.currency_normalize(df, rates).collect()}
     assert got == {"JPY": (None, "FLAGGED"), "USD": (2.0, None), "EUR": (1.5, None), None: (None, "FLAGGED")}
+
+
+def test_unknown_keys_of_several_dimensions(spark):
+    rows = [(1, "a", 10), (2, "zz", 10), (3, None, 99), (4, "zz", None), (5, "a", 99), (5, "a", 99)]
+    rows = spark.createDataFrame(rows + [(k, "hot", 10) for k in range(6, 400)], "id int, store string, item int")
+    stores = spark.createDataFrame([("a", 0), ("a", 1), (None, 2), ("99", 3)], "store string, flag int")
+    items = spark.createDataFrame([("10",), ("10",)], "code string")
+    out = audit.unknown_keys(rows, {"no_store": ("store", stores, "store"), "no_item": ("item", items, "code")})
+    assert out.columns == ["id", "store", "item", "no_store", "no_item"] and out.count() == rows.count()
+    got = {r["id"]: (r["no_store"], r["no_item"]) for r in out.collect()}
+    assert [got[k] for k in range(1, 6)] == [(False, False), (True, False), (False, True), (True, False), (False, True)]
+    assert all(got[k] == (True, False) for k in range(6, 400))
+    none = audit.unknown_keys(rows.limit(0), {"no_store": ("store", stores, "store")})
+    assert none.count() == 0 and none.columns[-1] == "no_store"
