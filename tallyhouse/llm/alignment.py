@@ -40,13 +40,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tallyhouse.llm.idfiles import pack_values, unpack_values
 from tallyhouse.llm.text import BLOCK, Spans, bytes_and_offsets
-from tallyhouse.llm.tokens import CACHE, Encoder
+from tallyhouse.llm.tokens import Encoder
 from tallyhouse.session import materialize
 
 #: Bytes of text whose pairs make one list.
-CHUNK = 16 << 20
+CHUNK = 8 << 20
 #: Tokens of one text that are aligned at once.
-STRETCH = 1 << 20
+STRETCH = 1 << 17
+#: Pieces that a worker keeps the second tokenizer's ids of; the cache starts anew beyond.
+PIECES = 250_000
 #: Every end of a level starts from one of the level before, this many times sparser.
 FAN = 4
 _SPACE = "▁"
@@ -109,7 +111,21 @@ class PieceEncoder:
         same = model.normalize(probe).replace(_SPACE, " ") in (probe, " " + probe)
         self._apart = ~self._meet.ravel()
         self._cuts = same and self._line >= 0 and not self._meet[:, 10].any() and not self._meet[10, :0x80].any()
-        self._known: dict[int, np.ndarray] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        """The ids of all known pieces in one array, and by piece where they start and how many they are."""
+        self._known: dict[int, int] = {}
+        self._ids, self._used = np.zeros(1 << 16, dtype=np.uint32), 0
+
+    def _keep(self, keys: list[int], ids: list[np.ndarray]) -> None:
+        end = self._used + sum(map(len, ids))
+        if end > len(self._ids):
+            self._ids = np.concatenate([self._ids, np.zeros(max(len(self._ids), end), np.uint32)])
+        for key, own in zip(keys, ids, strict=True):
+            self._ids[self._used : self._used + len(own)] = own
+            self._known[key] = self._used << 32 | len(own)
+            self._used += len(own)
 
     def _learn(self, keys: list[int], pieces: list[str]) -> None:
         """Many pieces to a call, with line ends between them."""
@@ -117,8 +133,7 @@ class PieceEncoder:
             part = pieces[k : k + 256]
             ids = np.array(self._model.encode("\n" + "\n".join(part)), dtype=np.uint32)
             ends = np.append(np.flatnonzero(ids == self._line), len(ids))
-            for key, a, b in zip(keys[k : k + 256], ends[:-1] + 1, ends[1:], strict=True):
-                self._known[key] = ids[a:b]
+            self._keep(keys[k : k + 256], [ids[a:b] for a, b in zip(ends[:-1] + 1, ends[1:], strict=True)])
 
     def _block(self, data: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of a block and how many each of its values has; values: their starts."""
@@ -129,20 +144,18 @@ class PieceEncoder:
         ends = np.append(starts[1:], len(data))
         line = data[starts] == 10
         keys, first, of = np.unique(Spans(data).hash(starts, ends), return_index=True, return_inverse=True)
-        if len(self._known) + len(keys) > CACHE:
-            self._known = {}
+        if len(self._known) + len(keys) > PIECES:
+            self._reset()
         names, raw, known = keys.tolist(), data.tobytes(), self._known
         new = [i for i, key in enumerate(names) if key not in known]
-        for i in [i for i in new if line[first[i]]]:
-            known[names[i]] = np.array([self._line], dtype=np.uint32)
+        lines = [names[i] for i in new if line[first[i]]]
+        self._keep(lines, [np.array([self._line], dtype=np.uint32)] * len(lines))
         new = [i for i in new if not line[first[i]]]
         self._learn([names[i] for i in new], [raw[starts[first[i]] : ends[first[i]]].decode() for i in new])
-        found = [known[key] for key in names]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat, begin = np.concatenate(found), np.cumsum(size) - size
-        begin, size = begin[of], size[of]
+        found = np.fromiter(map(known.__getitem__, names), np.int64, len(names))[of]
+        begin, size = found >> 32, found & 0xFFFFFFFF
         total = np.concatenate(([0], np.cumsum(size)))
-        ids = flat[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        ids = self._ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
         return ids, np.diff(total[np.searchsorted(starts, np.append(values, len(data)))])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -318,9 +331,10 @@ class Aligner:
 
     def documents(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[list], list[tuple]]:
         """Per document [n_a, n_b, n_groups, n_links, digest], and its pairs: (documents, codes,
-        numbers) per stretch, sorted."""
+        numbers) per stretch, sorted, each document in one of them."""
         rows = [[len(a), len(b), 0, 0, hashlib.sha256()] for a, b in docs]
         pairs, space = [], self.a_ids * self.b_ids
+        kind, cut = np.uint32 if space <= 1 << 32 else np.int64, []
         for first, ended, a, b, a_ends, b_ends, doc_ends in self.stretches(docs):
             a_cuts, b_cuts, own, met = aligned(a_ends, b_ends)
             text, ends = self._writer.text(a, b, a_cuts, b_cuts)
@@ -338,7 +352,16 @@ class Aligner:
             codes = a[own].astype(np.int64) * self.b_ids + b[met]
             keys = np.sort(link_doc * space + codes)
             start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            pairs.append((first + keys[start] // space, keys[start] % space, np.diff(start, append=len(keys))))
+            part = ((first + keys[start] // space).astype(np.int32), (keys[start] % space).astype(kind), np.diff(start, append=len(keys)).astype(np.int32))
+            if ended and not cut:
+                pairs.append(part)
+                continue
+            cut.append(part)  # parts of one long document repeat its pairs
+            if ended:
+                codes, place = np.unique(np.concatenate([c for _, c, _ in cut]), return_inverse=True)
+                number = np.bincount(place, weights=np.concatenate([n for _, _, n in cut]), minlength=len(codes)).astype(np.int64)
+                pairs.append((np.full(len(codes), first, np.int32), codes, number))
+                cut = []
         return rows, pairs
 
 
@@ -377,18 +400,16 @@ def _coded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str
 
     def written(chunk: int, keys: list, rows: list[list], parts: list[tuple]) -> pa.RecordBatch:
         of, codes, number = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3))
-        # parts of one long document repeat its pairs
-        order = np.lexsort((codes, of))
-        of, codes, number = of[order], codes[order], number[order]
-        start = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (codes[1:] != codes[:-1])))) if len(of) else np.zeros(0, np.int64)
-        of, codes, number = of[start], codes[start], np.add.reduceat(number, start) if len(start) else number
+        parts.clear()  # they are not needed beside their join
+        edges = np.searchsorted(of, np.arange(len(keys) + 1))
         pairs, place = np.unique(codes, return_inverse=True)
+        del of, codes
         counts = np.bincount(place, weights=number, minlength=len(pairs)).astype(np.int64)
-        edges = np.searchsorted(of, np.arange(len(keys) + 1))
+        pairs = pairs.astype(np.int64)
         coded = []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             again = number[a:b] > 1
-            coded.append((*pack_values(np.diff(place[a:b], prepend=0) * 2 + again), *pack_values(number[a:b][again])))
+            coded.append((*pack_values(np.diff(place[a:b], prepend=0) * 2 + again), *pack_values(number[a:b][again].astype(np.int64))))
         lists = [(pairs, counts), *[(None, None)] * (len(keys) - 1)]
         columns = [[chunk] * len(keys), keys, *zip(*(r[:4] for r in rows), strict=True), [r[4] if isinstance(r[4], str) else r[4].hexdigest() for r in rows]]
         columns += [np.diff(edges), *zip(*coded, strict=True), *zip(*lists, strict=True)]
@@ -401,8 +422,8 @@ def _coded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str
             _, offsets = bytes_and_offsets(batch.column(1))
             at = 0
             while at < len(batch):
-                # some blocks' worth of texts at a time, one at least
-                end = max(int(np.searchsorted(offsets, offsets[at] + 2 * BLOCK, side="right")) - 1, at + 1)
+                # a block's worth of texts at a time, one at least
+                end = max(int(np.searchsorted(offsets, offsets[at] + BLOCK, side="right")) - 1, at + 1)
                 if keys and size + int(offsets[end] - offsets[at]) > CHUNK:
                     yield written(chunk, keys, rows, parts)
                     chunk, keys, rows, parts, size = chunk + 1, [], [], [], 0
@@ -412,7 +433,7 @@ def _coded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: str
                 fresh = [[0, 0, 0, 0, ""] for _ in found]
                 for i, row in zip(some, done, strict=True):
                     fresh[i] = row
-                parts += [(len(keys) + some[of], codes, number) for of, codes, number in pairs]
+                parts += [((len(keys) + some[of]).astype(np.int32), codes, number) for of, codes, number in pairs]
                 keys += batch.column(0).slice(at, end - at).to_pylist()
                 rows += fresh
                 size += int(offsets[end] - offsets[at])

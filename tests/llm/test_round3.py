@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from conftest import SF
@@ -263,3 +265,26 @@ def test_equal_vectors_are_fitted_once(spark):
     once = {tuple(v) for _, v in rows}
     found = whitening.whiten(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).agg(F.min("n"), F.max("n")).first()
     assert tuple(found) == (len(once), len(once))
+
+
+def test_an_alignment_worker_keeps_little():
+    own = alignment.Aligner(BYTE_TOKENIZER, PIECE_TOKENIZER)
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdeé中", k=rng.randint(1, 7))) for _ in range(3000)) for _ in range(40)]
+    docs = own.encoded(pa.array(texts, pa.large_string()))
+    tracemalloc.start()
+    rows, pairs = own.documents(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(len(c) for _, c, _ in pairs) > 10_000
+    assert sum(p.nbytes for part in pairs for p in part) <= 12 * sum(len(c) for _, c, _ in pairs) and peak < 45e6
+
+
+def test_pieces_are_forgotten_and_learnt_again(monkeypatch):
+    texts = [f" {t}".encode() for _, t in pieces(3, "ab c\n", 60) if t]
+    own = alignment.PieceEncoder(PIECE_TOKENIZER)
+    want = [x.tolist() for x in own.encode(texts)]
+    monkeypatch.setattr(alignment, "PIECES", 5)
+    monkeypatch.setattr(alignment, "BLOCK", 400)
+    small = alignment.PieceEncoder(PIECE_TOKENIZER)
+    assert [x.tolist() for t in texts for x in small.encode([t])] == want
