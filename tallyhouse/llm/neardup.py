@@ -53,6 +53,8 @@ LOSS = 1e-5
 BITS = ["b0", "b1", "b2", "b3"]
 #: Open nodes of a list that are paired directly.
 SHORT = 32
+#: Runs of words that are counted at once.
+STRETCH = 1 << 20
 
 
 def shingle_sets(column, width: int) -> Iterator[np.ndarray]:
@@ -156,6 +158,44 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), i)), pa.array(runs)], names=["id", "run"])
 
 
+def _common_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (hub, whole) in the order of hubs: per stretch of one hub's nodes, how many they
+    are, and the runs that more than half of them have with their numbers. A run that more than
+    half of all nodes of a hub have is among those of one stretch at least."""
+    hub, held, size = None, [], 0
+
+    def part() -> pa.RecordBatch:
+        runs, n = np.unique(np.concatenate(held), return_counts=True)
+        most = 2 * n > len(held)
+        columns = [pa.array([x], t) for x, t in ((hub, pa.int64()), (len(held), pa.int64()), (runs[most], pa.list_(pa.int64())), (n[most], pa.list_(pa.int64())))]
+        return pa.RecordBatch.from_arrays(columns, names=["hub", "nodes", "runs", "counts"])
+
+    for batch in batches:
+        for h, whole in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if held and (h != hub or size > STRETCH):
+                yield part()
+                held, size = [], 0
+            hub = h
+            held.append(np.frombuffer(whole.as_buffer(), np.int64).copy())
+            size += len(held[-1])
+    if held:
+        yield part()
+
+
+def _most_have(long: DataFrame) -> DataFrame:
+    """hub, most_have: runs that most nodes of a hub have, to tell their sets apart by. Any set
+    of runs would do, so a run is counted in those stretches only where most nodes have it; the
+    rows are as many as stretches, not as runs of nodes."""
+    # sorted by ranges of both, so that a hub of very many nodes is spread over tasks
+    ordered = long.select("hub", "whole", "node.id").repartitionByRange("hub", "id").sortWithinPartitions("hub")
+    parts = ordered.select("hub", "whole").mapInArrow(_common_runs, "hub long, nodes long, runs array<long>, counts array<long>")
+    parts = materialize(long.sparkSession, parts, "common-runs")
+    total = parts.groupBy("hub").agg(F.sum("nodes").alias("nodes"))
+    each = parts.select("hub", F.explode(F.arrays_zip("runs", "counts")).alias("r"))
+    had = each.groupBy("hub", F.col("r.runs").alias("run")).agg(F.sum("r.counts").alias("c"))
+    return had.join(total, "hub").where("2 * c > nodes").groupBy("hub").agg(F.collect_list("run").alias("most_have"))
+
+
 def _differences(percent: int):
     """Of every (hub, node): the first runs of its difference, as far as another node's must
     begin. A row without a run tells of the difference as a whole."""
@@ -211,9 +251,7 @@ def _open_pairs(spark: SparkSession, open_: DataFrame, hubs: DataFrame, sets: Da
     held = sets.join(lone, F.col("id") == F.col("of"), "left").select(F.col("id").alias("own"), "whole", F.coalesce("runs", F.array().cast("array<long>")).alias("lone"))
     long = materialize(spark, long.join(held, F.col("node.id") == F.col("own")).drop("own"), "long")
     # at most twice as many runs as a set has are those that more than half of the nodes have
-    had = long.select("hub", "whole").mapInArrow(_elements, "id long, run long").groupBy("id", "run").agg(F.count("*").alias("c"))
-    half = long.groupBy("hub").agg((F.count("*") / 2).alias("half"))
-    had = had.join(half, (F.col("id") == F.col("hub")) & (F.col("c") > F.col("half"))).groupBy("hub").agg(F.collect_list("run").alias("most_have"))
+    had = _most_have(long)
     long = long.join(had, "hub", "left").withColumn("most_have", F.coalesce("most_have", F.array().cast("array<long>")))
     kind = long.schema["node"].dataType.simpleString()
     differ = long.mapInArrow(_differences(percent), f"hub long, node {kind}, component long, run long, place long, differs long, early boolean")

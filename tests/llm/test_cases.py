@@ -113,6 +113,22 @@ def test_edited_copies_about_the_threshold(spark, monkeypatch, short, percent):
     assert sorted(got) == sorted(want)
 
 
+def test_common_runs_are_counted_by_stretch(spark, monkeypatch):
+    """Rows made are as many as stretches, not as runs of nodes, and what most nodes have is found in any of them."""
+    monkeypatch.setattr(neardup, "STRETCH", 900)
+    rows = [(h, np.array([*range(100 * h, 100 * h + 60), *range(10_000 * h + 9 * i, 10_000 * h + 9 * i + 9)], np.int64).tobytes(), (i,)) for h in (1, 2) for i in range(50)]
+    stretches = list(neardup._common_runs(iter([pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows]) for k in (0, 1)], names=["hub", "whole"])])))
+    assert sum(p.column("nodes")[0].as_py() for p in stretches) == 100 and len(stretches) <= 10
+    assert all(len(p.column("runs")[0]) == 60 for p in stretches)
+    long = spark.createDataFrame(rows, "hub long, whole binary, node struct<id: long>").repartition(7)
+    found = {r.hub: sorted(r.most_have) for r in neardup._most_have(long).collect()}
+    assert found == {h: list(range(100 * h, 100 * h + 60)) for h in (1, 2)}
+    # a run that half of the nodes have, no more, is not among them
+    few = spark.createDataFrame([(1, np.array(x, np.int64).tobytes(), (i,)) for i, x in enumerate(([1, 2], [1, 3]))], long.schema)
+    monkeypatch.setattr(neardup, "STRETCH", 1000)
+    assert [r.most_have for r in neardup._most_have(few.coalesce(1)).collect()] in ([[1]], [])
+
+
 def test_packing(spark, odd, empty):
     tokenizer = Tokenizer.from_file(WORD_TOKENIZER)
     once = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
