@@ -83,3 +83,15 @@ def test_a_silent_session_compiles_wide_projections(spark):
     other.conf.set(METHOD_LIMIT, "4000")
     compiled(other)
     assert other.conf.get(METHOD_LIMIT) == "4000"
+
+
+def test_copies_are_the_same_beside_a_key_and_share_its_exchange(spark):
+    feed = materialize(spark, _feed(spark), "feed").withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in dq.SCOPE})
+    alone, beside = dq.dq_duplicate_rows(feed), dq.dq_duplicate_rows(feed, key=["id"])
+    assert sorted(map(str, beside.collect())) == sorted(map(str, alone.collect())) and beside.count() == 6
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        both = dq.union_rejected(beside, dq.dq_pk_duplicates(feed, ["id"]))
+        assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
