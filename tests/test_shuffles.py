@@ -4,6 +4,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from tallyhouse import testbed as t
 from tallyhouse.functions.columns import to_timestamp, to_timestamp_any
 from tallyhouse.operators import layers as ly, quality as dq
 from tallyhouse.operators.keys import with_digest
@@ -95,3 +96,15 @@ def test_copies_are_the_same_beside_a_key_and_share_its_exchange(spark):
         assert "ReusedExchange" in both._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_long_table_is_not_spread(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id AS l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = t.table(spark, str(tmp_path), "lineitem")
+
+    def text():
+        return t._spread(spark, str(tmp_path), "lineitem", rows)._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "Rebalance" in text()
+    monkeypatch.setattr(t, "SPREAD_BELOW", 1)
+    assert "Rebalance" not in text()
