@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse import testbed as t
 from tallyhouse.functions.columns import to_timestamp, to_timestamp_any
-from tallyhouse.operators import layers as ly, quality as dq
+from tallyhouse.operators import keys as ks, layers as ly, quality as dq
 from tallyhouse.operators.keys import with_digest
 from tallyhouse.session import METHOD_LIMIT, compiled, materialize
 from tallyhouse.specs import FILE, ROW, SHEET, TIMESTAMP_PATTERNS
@@ -98,6 +98,45 @@ def test_copies_are_the_same_beside_a_key_and_share_its_exchange(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_insert_ignore_stores_keys_and_sends_rows_once(spark, tmp_path, monkeypatch):
+    """Loads of few and of many rows give the same, with NULL, hot and repeated keys."""
+    kinds = "k string, d int, n long, v string"
+    rows = [(None if i % 3 == 0 else f"k{i % 50}", None if i % 7 == 0 else i % 4, i // 2, f"v{i}") for i in range(400)]
+    one = spark.createDataFrame(rows[:150], kinds)
+    two = spark.createDataFrame(rows, kinds).repartition(5)
+    key, schema, stored = ["k", "d"], one.select("k", "d", "v").schema, []
+
+    def keep(session, df, *args):
+        stored.append(df.columns)
+        return materialize(session, df, *args)
+
+    monkeypatch.setattr(ly, "materialize", keep)
+    want = {}
+    for k, d, n, v in sorted(rows[:150], key=lambda r: r[2]) + sorted(rows, key=lambda r: r[2]):
+        want.setdefault((k, d), n)
+    number = {v: n for _, _, n, v in rows}
+    for few, name in ((500_000, "few"), (0, "many")):
+        monkeypatch.setattr(ly, "FEW", few)
+        monkeypatch.setattr(ly, "PART", 10)
+        for batch in (one, two, two):
+            ly.sink_curated_insert_ignore(batch, f"{tmp_path}/{name}", schema, key, 1, order="n")
+        found = spark.read.parquet(f"{tmp_path}/{name}").collect()
+        assert {(r.k, r.d): number[r.v] for r in found} == want and len(found) == len(want)
+        assert ly.insert_ignore_rows(two, spark.read.parquet(f"{tmp_path}/{name}"), key, "n").isEmpty()
+    assert stored and all("v" not in columns for columns in stored)
+    at = materialize(spark, spark.range(300).selectExpr("id AS n", "CAST(id % 9 AS STRING) AS k"), "at")
+    wide = spark.range(300).selectExpr("CAST(id % 9 AS STRING) AS k", "id AS n", "id AS v").coalesce(3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        near = ks.rows_at_in_parts(wide, at, ["k", "n"], ks.bucket(["k"], "_key_of_64"))
+        texts = [df._jdf.queryExecution().executedPlan().toString() for df in (near, ks.rows_at(wide, at, ["k", "n"]))]
+        assert [t.count("Exchange hashpartitioning") for t in texts] == [1, 2] and near.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_a_long_table_is_not_spread(spark, tmp_path, monkeypatch):
     spark.range(1000).selectExpr("id AS l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     rows = t.table(spark, str(tmp_path), "lineitem")
