@@ -2,12 +2,14 @@
 
 from pathlib import Path
 
+from conftest import SF
 from pyspark.sql import functions as F
 
 from tallyhouse import testbed as t
 from tallyhouse.functions.columns import to_timestamp, to_timestamp_any
 from tallyhouse.operators import keys as ks, layers as ly, quality as dq
 from tallyhouse.operators.keys import with_digest
+from tallyhouse.plans import catalogue
 from tallyhouse.session import METHOD_LIMIT, compiled, materialize
 from tallyhouse.specs import FILE, ROW, SHEET, TIMESTAMP_PATTERNS
 
@@ -137,6 +139,13 @@ def test_insert_ignore_stores_keys_and_sends_rows_once(spark, tmp_path, monkeypa
         spark.conf.set("spark.sql.adaptive.enabled", "true")
 
 
+def test_the_verdicts_of_the_log_hold_what_it_reads(spark):
+    stored = catalogue._stored_tagged(spark, SF)
+    assert stored.columns == catalogue.LOGGED and stored.count() > 6000
+    tagged = catalogue._looked_up(spark, SF)
+    assert catalogue._quality_log(tagged).count() > 0 and catalogue._batches(spark, SF, tagged).count() > 0
+
+
 def test_a_long_table_is_not_spread(spark, tmp_path, monkeypatch):
     spark.range(1000).selectExpr("id AS l_orderkey").write.parquet(f"{tmp_path}/lineitem.parquet")
     rows = t.table(spark, str(tmp_path), "lineitem")
