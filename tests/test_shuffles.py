@@ -1,15 +1,16 @@
 """What the gate and the layers send and store, and that cheaper forms give the same rows."""
 
+import uuid
 from pathlib import Path
 
 from conftest import SF
 from pyspark.sql import functions as F
 
-from tallyhouse import testbed as t
+from tallyhouse import session, testbed as t
 from tallyhouse.functions.columns import to_timestamp, to_timestamp_any
 from tallyhouse.operators import keys as ks, layers as ly, quality as dq
 from tallyhouse.operators.keys import with_digest
-from tallyhouse.plans import catalogue
+from tallyhouse.plans import catalogue, ingest
 from tallyhouse.session import METHOD_LIMIT, compiled, materialize
 from tallyhouse.specs import FILE, ROW, SHEET, TIMESTAMP_PATTERNS
 
@@ -156,3 +157,26 @@ def test_a_long_table_is_not_spread(spark, tmp_path, monkeypatch):
     assert "Rebalance" in text()
     monkeypatch.setattr(t, "SPREAD_BELOW", 1)
     assert "Rebalance" not in text()
+
+
+def test_a_load_leaves_its_layers_and_no_scratch(spark, tmp_path, monkeypatch):
+    """What one step hands to the next is emptied, and shuffle files go with their job."""
+    monkeypatch.setattr(session, "scratch", lambda _, name: f"{tmp_path}/scratch/{name}-{uuid.uuid4().hex}")
+    rows = _feed(spark).select(FILE, SHEET, ROW, F.col("id").alias("transaction_id"), F.lit("2024-01-01").alias("ts"), F.lit("1").alias("qty"))
+    landed, seen, audit = materialize(spark, rows, "landed"), [], ingest.audit_feed
+
+    def spy(tagged, *args):
+        seen.append((tagged.count(), spark.conf.get(session.SHUFFLE_CLEANUP)))
+        return audit(tagged, *args)
+
+    monkeypatch.setattr(ingest, "audit_feed", spy)
+    old = spark.conf.get(session.SHUFFLE_CLEANUP, None)
+    done = ingest.ingest_landed(spark, [(catalogue.POS_SPEC, landed)], f"{tmp_path}/lake", 1).first()
+    assert (done.rows_in, done.attempted, done.inserted) == (18, 6, 3)
+    assert seen == [(18, "true")] and spark.conf.get(session.SHUFFLE_CLEANUP, None) == old
+    left = {p.name.rsplit("-", 1)[0]: spark.read.schema("_row_idx long").parquet(str(p)).count() for p in Path(f"{tmp_path}/scratch").iterdir()}
+    assert left.pop("landed") == 18 and "gate-pos_batch" in left
+    assert all(n == 0 for name, n in left.items() if name.startswith(("gate", "typed")))
+    with session.stored(spark, landed, "kept") as kept:
+        assert kept.count() == 18
+    assert sum(f.stat().st_size for f in Path(f"{tmp_path}/scratch").rglob("kept-*/*.parquet")) < 5000
