@@ -180,3 +180,20 @@ def test_a_load_leaves_its_layers_and_no_scratch(spark, tmp_path, monkeypatch):
     with session.stored(spark, landed, "kept") as kept:
         assert kept.count() == 18
     assert sum(f.stat().st_size for f in Path(f"{tmp_path}/scratch").rglob("kept-*/*.parquet")) < 5000
+
+
+def test_a_load_cleans_its_rows_once(spark, tmp_path, monkeypatch):
+    """The gate reads its rows twice: they are a stored table by then, emptied after it."""
+    rows = _feed(spark).select(FILE, SHEET, ROW, F.col("id").alias("transaction_id"), F.lit(" 2024-01-01 ").alias("ts"), F.lit("$1").alias("qty"))
+    plans, gate = [], ingest.dq_gate
+
+    def spy(df, *args):
+        plans.append((df.inputFiles(), df._jdf.queryExecution().optimizedPlan().toString()))
+        return gate(df, *args)
+
+    monkeypatch.setattr(ingest, "dq_gate", spy)
+    with ingest.stored_verdicts(materialize(spark, rows, "landed"), catalogue.POS_SPEC) as tagged:
+        assert sorted(map(str, tagged.collect())) == sorted(map(str, ingest.gate_feed(rows, catalogue.POS_SPEC).collect()))
+    ((files, text), _) = plans
+    assert files and all("/typed-pos_batch-" in f for f in files) and "trim" not in text
+    assert not any(Path(f.removeprefix("file:")).exists() for f in files)
