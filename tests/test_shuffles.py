@@ -197,3 +197,31 @@ def test_a_load_cleans_its_rows_once(spark, tmp_path, monkeypatch):
     ((files, text), _) = plans
     assert files and all("/typed-pos_batch-" in f for f in files) and "trim" not in text
     assert not any(Path(f.removeprefix("file:")).exists() for f in files)
+
+
+def test_clustered_loads_send_their_rows_once_to_few_sorted_files(spark, tmp_path, monkeypatch):
+    """A load of fresh rows and one of fresh and known ones, with NULL, hot and repeated keys."""
+    kinds, path = "k string, at int, n long, ch string", f"{tmp_path}/t"
+    one = spark.createDataFrame([(None if i == 0 else f"k{i}", -i, i, "A" if i % 3 else "B") for i in range(400)], kinds).repartition(7)
+    two = spark.createDataFrame([(None if i % 5 == 0 else f"k{i % 900}", i % 50, i, "B") for i in range(1200)], kinds).repartition(7)
+    schema, layout, saved, save = one.drop("n").schema, {"by": ["ch"], "cluster": ["at", "k"]}, [], ly.save_rows
+
+    def spy(df, *args, **kwargs):
+        saved.append(df._jdf.queryExecution().executedPlan().toString())
+        return save(df, *args, **kwargs)
+
+    monkeypatch.setattr(ly, "save_rows", spy)
+    monkeypatch.setattr(ly, "FEW", 100)
+    monkeypatch.setattr(ly, "PART", 1000)
+    for number, batch in ((1, one), (2, two), (3, two)):
+        ly.sink_curated_insert_ignore(materialize(spark, batch, "batch"), path, schema, ["k"], number, order="n", **layout)
+    assert len(saved) == 3 and "Join" not in saved[0] and all("rangepartitioning" not in text for text in saved[:2])
+    want = {r.k: (r.at, r.ch) for r in reversed(two.orderBy("n").collect())} | {r.k: (r.at, r.ch) for r in one.collect()}
+    found = spark.read.parquet(path).collect()
+    assert {r.k: (r.at, r.ch) for r in found} == want and len(found) == len(want)
+    files = {}
+    for r in sorted(spark.read.parquet(path).select("at", "_metadata.file_path", "_metadata.row_index").collect(), key=lambda r: r.row_index):
+        files.setdefault(r.file_path, []).append(r["at"])
+    assert all(times == sorted(times) for times in files.values())
+    folders = [f.rsplit("/", 1)[0] for f in files]
+    assert max(map(folders.count, folders)) <= 2
